@@ -715,12 +715,17 @@ def index_view(v) -> DataFrame:
     )
 
 
-def episodes_view(v) -> DataFrame:
+def build_episodes(v) -> DataFrame:
     return episodes(
         months_view(v), events_view(v), monthly_rate(v.weekly_rates, "pmms30"), index_view(v)
     )
 
 
+def episodes_view(v) -> DataFrame:
+    """The episode table as a stored layer, built once per session and data folder."""
+    return v.stored("episodes", lambda: build_episodes(v))
+
+
 def stock_view(v) -> DataFrame:
     return active_stock(episodes_view(v))
 

@@ -316,7 +316,7 @@ EPISODE_DIGITS = (
 
 @query("L01_episodes", f"select {EPISODE_COLUMNS} from episodes", EPISODE_DIGITS)
 def _(v):
-    return LN.episodes_view(v).select(*EPISODE_COLUMNS.split(", "))
+    return LN.build_episodes(v).select(*EPISODE_COLUMNS.split(", "))
 
 
 cte(

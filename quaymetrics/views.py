@@ -7,11 +7,17 @@ the Spark views and the oracle's common table expressions.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymetrics.session import shared_dir
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -146,6 +152,18 @@ class Views:
             text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 {{{t}}} as {t}", text)
         return self.spark.sql(text, **used)
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived layer written once to the shared folder and read back from there.
+
+        Layers live as long as the session that wrote them; executors may come and go.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def assignments(self) -> DataFrame:
         months = self.orders.agg(
