@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymetrics.core import hash32, join_null_safe, ratio
-from quaymetrics.session import shared_dir
+from quaymetrics.session import stored
 
 # --- small numeric helpers on the driver ------------------------------------------
 
@@ -209,10 +209,9 @@ def absorb(
         "_w",
         *[ratio(F.col(f"_s_{c}"), F.col("_w")).alias(f"_m_{c}") for c in cols],
     ).withColumns({f"_r_{c}": F.col(f"_m_{c}") for c in cols})
-    shared_dir(df.sparkSession)
     rounds = 0
     if len(effects) > 1:
-        cells = cells.checkpoint()
+        cells = stored(cells, "cells")
     while True:
         rounds += 1
         start = cells.withColumns({f"_p_{c}": F.col(f"_r_{c}") for c in cols})
@@ -229,7 +228,7 @@ def absorb(
         if len(effects) == 1:
             cells = start
             break
-        cells = start.checkpoint()
+        cells = stored(start, "cells")
         step = [F.abs(F.col(f"_r_{c}") - F.col(f"_p_{c}")) for c in cols]
         size = [F.abs(F.col(f"_m_{c}")) for c in cols]
         row = cells.agg(
@@ -314,13 +313,12 @@ def ppml_hdfe(
     """Poisson pseudo-likelihood with absorbed effects by reweighted least squares.
 
     Zeros are kept. A regressor constant within zeros and within positives, with different
-    values, is reported as separated. The working table is checkpointed each round, so the
+    values, is reported as separated. The working table is stored each round, so the
     plan does not grow and a lost executor costs one round.
     """
     keep = [y, *xs, *effects, *clusters]
     base = df.select(*dict.fromkeys(keep)).dropna()
     base = base.withColumns({c: F.col(c).cast("double") for c in (y, *xs)})
-    shared_dir(df.sparkSession)
     yy = F.col(y)
     pos = yy > 0
     spread = base.agg(
@@ -347,6 +345,7 @@ def ppml_hdfe(
         and spread[f"z0_{x}"] == spread[f"z1_{x}"]
         and spread[f"p0_{x}"] != spread[f"z0_{x}"]
     ]
+    base = stored(base, "poisson-rows")
     work = base.withColumn("_mu", yy + 0.1).withColumn("_eta", F.ln("_mu"))
     k, beta, last, rounds = len(xs), np.zeros(len(xs)), None, 0
     while rounds < max_iter:
@@ -361,11 +360,11 @@ def ppml_hdfe(
         beta = inv @ gram[:k, k]
         eta = F.col("_z") - (F.col("_z_w") - linear(beta, cols))
         bounded = F.least(F.greatest(eta, F.lit(-80.0)), F.lit(80.0))
-        work = (
+        work = stored(
             within.withColumn("_eta", bounded)
             .withColumn("_mu", F.exp("_eta"))
-            .select(*base.columns, "_mu", "_eta")
-            .checkpoint()
+            .select(*base.columns, "_mu", "_eta"),
+            "poisson",
         )
         gap = F.when(pos, yy * F.ln(yy / F.col("_mu"))).otherwise(0.0) - (yy - F.col("_mu"))
         dev = 2.0 * work.agg(F.sum(gap)).first()[0]
@@ -468,7 +467,7 @@ def wild_bootstrap(
             for j in range(k)
         ],
     )
-    per_cluster = per_cluster.checkpoint() if shared_dir(df.sparkSession) else per_cluster
+    per_cluster = stored(per_cluster, "clusters")
     meat, g = cross_products(per_cluster, [F.col(f"u{i}") for i in range(k)])
     dof = max(n - k - effect_levels(clean, effects), 1)
     adj = (g / max(g - 1, 1)) * ((n - 1) / dof)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaymetrics.core import join_null_safe, month_index, ordered, ratio, sum_where, total
 from quaymetrics.functions.columns import safe_log, stage_trade, value_measures
 from quaymetrics.operators.policy import attach_treatment
-from quaymetrics.session import shared_dir
+from quaymetrics.session import stored
 
 P, C, M = "product", "country_code", "month_date"
 
@@ -119,8 +119,7 @@ def trade_panel(
     """The full analytical panel from staged flows and policy records."""
     df = value_measures(stage_trade(trade))
     # Five later steps read the assessed flows, so the law is worked out once and stored.
-    shared_dir(df.sparkSession)
-    df = attach_treatment(df, records, product=product, baseline=baseline).checkpoint()
+    df = stored(attach_treatment(df, records, product=product, baseline=baseline), "assessed")
     df = event_time(df, product)
     df = sourcing_measures(df, treated_country, product)
     df = extensive_margin(df, product)

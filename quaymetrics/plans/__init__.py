@@ -15,5 +15,4 @@ from quaymetrics.plans import (  # noqa: F401
     streams,
     trade,
     vintages,
-    windows,
 )

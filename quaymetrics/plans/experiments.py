@@ -324,7 +324,7 @@ def _(v):
 @query("E11_ppml_hdfe")
 def _(v):
     return E.ppml_hdfe(
-        regression_panel(v), "value_k", ["log_tariff"], ["flow_id", "month_key"], ["hs10"], tol=1e-7
+        regression_panel(v), "value_k", ["log_tariff"], ["flow_id", "month_key"], ["hs10"], tol=1e-6
     )
 
 

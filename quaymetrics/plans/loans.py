@@ -145,9 +145,9 @@ def _(v):
 @query(
     "A13_event_summary",
     """
-select event_type, count(*) as n_loans, sum(orig_upb) as orig_upb, count_if(start_age > 1) as n_left_truncated,
-       count_if(n_month_gaps > 0) as n_with_month_gaps, count_if(conflicting_zb_codes) as n_conflicting_zb,
-       count_if(reappeared_after_exit) as n_reappeared_after_exit, min(observation_start) as observation_start_min,
+select event_type, count(*) as n_loans, sum(orig_upb) as orig_upb, count(*) filter (where start_age > 1) as n_left_truncated,
+       count(*) filter (where n_month_gaps > 0) as n_with_month_gaps, count(*) filter (where conflicting_zb_codes) as n_conflicting_zb,
+       count(*) filter (where reappeared_after_exit) as n_reappeared_after_exit, min(observation_start) as observation_start_min,
        max(observation_end) as observation_end_max
 from loan_events group by event_type
 """,
@@ -160,8 +160,8 @@ def _(v):
 @query(
     "A13_maturity_like",
     """
-select count_if(event_type = 'prepayment') as n_prepayments,
-       count_if(event_type = 'prepayment' and datediff('month', event_date, last_observed_period + interval 1 month) <= 3) as n_maturity_like
+select count(*) filter (where event_type = 'prepayment') as n_prepayments,
+       count(*) filter (where event_type = 'prepayment' and datediff('month', event_date, last_observed_period + interval 1 month) <= 3) as n_maturity_like
 from loan_events
 """,
 )
@@ -556,9 +556,9 @@ def _(v):
     "Q04_panel_checks",
     """
 with s as (select *, datediff('month', lag(period) over (partition by loan_seq_no order by period), period) as step from months),
-f as (select count(*) as n_rows_, count_if(step = 0) as a, 0 as b, count_if(step > 1) as c, count_if(current_upb < 0) as d,
-             count_if(zero_balance_code is not null and zero_balance_code not in ('01', '03')) as e from s),
-g as (select count(*) as loans, count_if(n > 1) as a, count_if(top <= 0) as b from (
+f as (select count(*) as n_rows_, count(*) filter (where step = 0) as a, 0 as b, count(*) filter (where step > 1) as c, count(*) filter (where current_upb < 0) as d,
+             count(*) filter (where zero_balance_code is not null and zero_balance_code not in ('01', '03')) as e from s),
+g as (select count(*) as loans, count(*) filter (where n > 1) as a, count(*) filter (where top <= 0) as b from (
         select loan_seq_no, count(zero_balance_code) as n, max(current_upb) as top from months group by loan_seq_no) l),
 t as (select 'duplicate_keys' as "check", f.a as n, f.a / n_rows_::double as prevalence, 0.0::double as tolerated from f
       union all select 'age_regressions', f.b, f.b / n_rows_::double, 0.001 from f
@@ -578,10 +578,10 @@ def _(v):
 @query(
     "Q05_event_checks",
     """
-with f as (select count(*) - count(distinct loan_seq_no) as a, count_if(observation_end < observation_start) as b,
-                  count_if(event_date < observation_start) as c, count_if(event_type not in ('prepayment', 'credit_event', 'censored')) as d,
-                  count_if(zero_balance_code = '15' and not censored) as e, count_if(conflicting_zb_codes) as g, count_if(reappeared_after_exit) as h,
-                  count_if(start_age > 1) as i, count_if(n_month_gaps > 0) as j from loan_events),
+with f as (select count(*) - count(distinct loan_seq_no) as a, count(*) filter (where observation_end < observation_start) as b,
+                  count(*) filter (where event_date < observation_start) as c, count(*) filter (where event_type not in ('prepayment', 'credit_event', 'censored')) as d,
+                  count(*) filter (where zero_balance_code = '15' and not censored) as e, count(*) filter (where conflicting_zb_codes) as g, count(*) filter (where reappeared_after_exit) as h,
+                  count(*) filter (where start_age > 1) as i, count(*) filter (where n_month_gaps > 0) as j from loan_events),
 t as (select 'duplicate_loans' as "check", 'HARD' as severity, a as n from f union all select 'bad_order', 'HARD', b from f
       union all select 'early_exit', 'HARD', c from f union all select 'unknown_event_type', 'HARD', d from f
       union all select 'administrative_not_censored', 'HARD', e from f union all select 'conflicting_codes', 'SOFT', g from f
@@ -596,11 +596,11 @@ def _(v):
 @query(
     "Q05_episode_checks",
     """
-with f as (select count_if(market_rate is null) as a, count_if(exit_prepayment = 1 and exit_credit_event = 1) as b,
-                  count_if(abs(rate_gap - (market_rate - note_rate)) > 1e-9) as c,
-                  count_if(upb_start_of_month > 0 and abs(rate_gap) > 0.01 and sign(payment_gap) <> sign(rate_gap)) as d,
-                  count_if(exit_any = 1 and upb_start_of_month <= 0) as e, count_if(remaining_term <= 0) as g from episodes),
-m as (select count_if(k > 1) as k from (select loan_seq_no, sum(exit_any) as k from episodes group by 1) x),
+with f as (select count(*) filter (where market_rate is null) as a, count(*) filter (where exit_prepayment = 1 and exit_credit_event = 1) as b,
+                  count(*) filter (where abs(rate_gap - (market_rate - note_rate)) > 1e-9) as c,
+                  count(*) filter (where upb_start_of_month > 0 and abs(rate_gap) > 0.01 and sign(payment_gap) <> sign(rate_gap)) as d,
+                  count(*) filter (where exit_any = 1 and upb_start_of_month <= 0) as e, count(*) filter (where remaining_term <= 0) as g from episodes),
+m as (select count(*) filter (where k > 1) as k from (select loan_seq_no, sum(exit_any) as k from episodes group by 1) x),
 t as (select 'several_exits' as "check", 'HARD' as severity, k as n from m union all select 'two_exit_kinds', 'HARD', b from f
       union all select 'gap_identity', 'HARD', c from f union all select 'gap_signs', 'HARD', d from f
       union all select 'exit_without_balance', 'HARD', e from f union all select 'nonpositive_term', 'HARD', g from f

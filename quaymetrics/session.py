@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "quaymetrics") -> SparkSession:
@@ -46,3 +47,14 @@ def use_utc(spark: SparkSession) -> None:
     """Wall-clock columns are TIMESTAMP_NTZ; a UTC session keeps every cast to them exact."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    This cuts the lineage of iterations so that a lost executor costs one round, and gives the
+    optimizer the table's true size, which a checkpoint would carry over from its plan.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
