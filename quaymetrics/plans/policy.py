@@ -257,7 +257,7 @@ window w as (partition by b.hs10, b.country_code order by b.month_date)
 
 def build_panel(v):
     return TD.trade_panel(
-        v.stored("trade", lambda: v.trade),
+        v.trade,
         v.tariff_records,
         TREATED,
         PRE_END,

@@ -120,6 +120,9 @@ from lineitem
 """,
 }
 
+# Aggregated inputs that plans read several times; each is staged once per session.
+STAGED = ("trade", "tariff_records", "loan_months", "weekly_rates", "vintages")
+
 # The treatment panel crosses nations with the observed calendar months (at most twelve).
 ASSIGNMENTS_SQL = """
 select n_nationkey as zone_id, p.period_id, cast(floor(n_nationkey / 5) as int) as cluster_id,
@@ -141,6 +144,8 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
+        if name in STAGED:
+            return self.stored(name, lambda: self.sql(VIEW_SQL[name]))
         if name in VIEW_SQL:
             return self.sql(VIEW_SQL[name])
         raise AttributeError(name)
