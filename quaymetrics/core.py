@@ -42,6 +42,12 @@ def total(df: DataFrame, expr: Column) -> Column:
     return df.agg(expr.alias("total")).scalar()
 
 
+def scalars(df: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row table through a single scalar subquery."""
+    row = df.select(F.struct(*df.columns).alias("row")).scalar()
+    return {c: row.getField(c) for c in df.columns}
+
+
 def join_null_safe(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:

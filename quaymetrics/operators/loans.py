@@ -17,6 +17,7 @@ from quaymetrics.core import (
     month_index,
     ordered,
     ratio,
+    scalars,
     share,
     sum_where,
     total,
@@ -546,12 +547,7 @@ def panel_checks(months: DataFrame, known_codes: Sequence[str]) -> DataFrame:
             F.count_if(F.coalesce(F.col("top"), F.lit(0.0)) <= 0).alias("loans_never_positive"),
         )
     )
-    facts = per_row.withColumns(
-        {
-            c: per_loan.select(c).scalar()
-            for c in ("loans", "loans_with_several_codes", "loans_never_positive")
-        }
-    )
+    facts = per_row.withColumns(scalars(per_loan))
     checks = [
         ("duplicate_keys", "rows", 0.0),
         ("age_regressions", "rows", 0.001),

@@ -13,6 +13,7 @@ from quaymetrics.core import (
     ordered,
     quantiles,
     ratio,
+    scalars,
     share,
     time_bin,
     total,
@@ -192,7 +193,7 @@ def trip_moments(
             part = df.agg(*[F.percentile_approx(c, q, 10000).alias(n) for n, q in names.items()])
         else:
             part = quantiles(df, [], c, names)
-        out = out.withColumns({n: part.select(n).scalar() for n in names})
+        out = out.withColumns(scalars(part))
     return out
 
 
@@ -223,7 +224,8 @@ def variance_decomposition(panel: DataFrame) -> DataFrame:
              - (F.sum(n * F.col("m")) / F.sum(n)) * (F.sum(n * F.col("m")) / F.sum(n))).alias("b"),
             (F.sum(n * F.col("v")) / F.sum(n)).alias("w"),
         )
-        return both.select("b").scalar(), both.select("w").scalar()
+        found = scalars(both)
+        return found["b"], found["w"]
 
     zb, zw = parts("zone_id")
     hb, hw = parts("_hour")
@@ -282,11 +284,12 @@ def graph_summary(flows: DataFrame) -> DataFrame:
     )
     top = edges.orderBy(F.desc("edge_weight"), "zone_a", "zone_b").limit(10)
     nodes = F.col("nodes")
+    found = scalars(stats)
     return totals.withColumns(
         {
-            "undirected_cross_zone_edges": stats.select("e").scalar(),
-            "cross_zone_trips": stats.select("c").scalar(),
-            "edge_weight_hhi": stats.select("h").scalar(),
+            "undirected_cross_zone_edges": found["e"],
+            "cross_zone_trips": found["c"],
+            "edge_weight_hhi": found["h"],
             "_top": total(top, F.sum("edge_weight")),
         }
     ).withColumns(
@@ -680,11 +683,12 @@ def panel_moments(panel: DataFrame, minutes: int, flags: Mapping[str, str] | Non
         f"interval {minutes} minutes",
         {"y": "prev"},
     ).agg(F.corr("y", "prev").alias("r"), F.count(F.lit(1)).alias("n"))
+    found = scalars(lagged)
     return df.agg(*exprs).withColumns(
         {
             "p90_trips_per_cell": quantiles(panel, [], d, {"q": 0.9}).scalar(),
-            "exact_lag_correlation": lagged.select("r").scalar(),
-            "exact_lag_support_pairs": lagged.select("n").scalar(),
+            "exact_lag_correlation": found["r"],
+            "exact_lag_support_pairs": found["n"],
         }
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.core import count_where, join_null_safe, ordered, ratio, total
+from quaymetrics.core import count_where, join_null_safe, ordered, ratio, scalars, total
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def conservation(clean: DataFrame, zones: DataFrame, od: DataFrame) -> DataFrame
     )
     out = a
     for part in (z, o):
-        out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
+        out = out.withColumns(scalars(part))
     usable = F.col("clean_rows") - F.col("pickup_datetime_null_rows")
     return out.withColumn(
         "conserved", (F.col("zone_trip_sum") == usable) & (F.col("od_trip_sum") == usable)
