@@ -51,3 +51,23 @@ def total_order(
 ) -> DataFrame:
     """Position of every row in (bucket, order); each bucket is ranked on its own."""
     return running_total(df, [], bucket, order, F.lit(1), out)
+
+
+def pivot_measures(
+    long: DataFrame, keys: Sequence[str], measure: str, names: Sequence[str], value: str
+) -> DataFrame:
+    """Long measures to columns: sum and count of each named measure per key.
+
+    The names are given, so no pass over the data is spent finding them. A measure a key lacks
+    has a null sum and a zero count.
+    """
+    c = F.col(measure)
+    cells = [
+        e
+        for n in names
+        for e in (
+            F.sum(F.when(c == n, F.col(value))).alias(f"{n}_sum"),
+            F.count(F.when(c == n, F.col(value))).alias(f"{n}_count"),
+        )
+    ]
+    return long.groupBy(*keys).agg(*cells)

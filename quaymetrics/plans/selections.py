@@ -280,3 +280,26 @@ def _(v):
         ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"],
     )
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query(
+    "A20_pivot_measures",
+    "select o_custkey % 100 as area, year(o_orderdate) as year, "
+    + ", ".join(
+        f"sum(case when o_orderstatus = '{s}' then o_totalprice end) as {s}_sum, "
+        f"count(case when o_orderstatus = '{s}' then o_totalprice end) as {s}_count"
+        for s in ("F", "O", "P")
+    )
+    + " from orders group by 1, 2",
+    "F_sum:2 O_sum:2 P_sum:2",
+)
+def _(v):
+    long = v.orders.select(
+        (F.col("o_custkey") % 100).alias("area"),
+        F.year("o_orderdate").alias("year"),
+        "o_orderstatus",
+        "o_totalprice",
+    )
+    return ST.pivot_measures(
+        long, ["area", "year"], "o_orderstatus", ["F", "O", "P"], "o_totalprice"
+    )
