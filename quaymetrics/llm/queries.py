@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import leaks
+from quaymetrics.llm import language, leaks
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -60,3 +60,8 @@ from words left join covered using (doc_id) left join found using (doc_id)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.leak_report(found).drop("spans", "items")
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_by_labels(table(spark, sf_dir, "documents"))
