@@ -24,15 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymetrics.llm import text as tx
+from quaymetrics.llm.suffixes import order_pairs
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 LONGEST_PIECE = 16
 LONGEST_WORD = 32
 #: Labelled documents that each language learns from, about.
-SAMPLE = 1500
+SAMPLE = 1000
 ROUNDS = 4
 SMOOTHING = 0.05
+#: Bytes of text that a task looks at together, and distinct words whose scores it remembers.
+CHUNK_BYTES = 2 << 20
+REMEMBERED = 200_000
 RESULT = "doc_id long, lang_pred string, score double"
 
 
@@ -114,15 +118,15 @@ class Lattice:
         for length in pieces.tables:
             at = np.flatnonzero(left >= length)
             hit, ids = pieces.find(_keys(eights, at, length), length)
-            begin.append(place[at[hit]])
-            level.append(offset[at[hit]] + length)
-            size.append(np.full(len(hit), length))
-            piece.append(ids)
+            begin.append(place[at[hit]].astype(np.int32))
+            level.append((offset[at[hit]] + length).astype(np.int32))
+            size.append(np.full(len(hit), length, np.int32))
+            piece.append(ids.astype(np.int32))
         begin, size, piece, level = (
-            np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, piece, level)
+            np.concatenate(x) if x else np.zeros(0, np.int32) for x in (begin, size, piece, level)
         )
         end = begin + size
-        sort = np.lexsort((end, level))
+        sort = order_pairs(level.astype(np.int64), end.astype(np.int64))
         self.begin, self.end, self.piece = begin[sort], end[sort], piece[sort]
         level = level[sort]
         self.levels = np.searchsorted(level, np.arange(1, int(level.max(initial=0)) + 2))
@@ -173,32 +177,62 @@ def word_parts(column: pa.Array) -> tuple[tx.Words, np.ndarray]:
     return words, begins
 
 
-def distinct_words(words: tx.Words, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes and lengths of the distinct words, each with its leading space, and which is which."""
-    keys = words.hashes() ^ np.where(begins, np.uint64(1), np.uint64(0))
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    starts, sizes = words.starts[first], (words.ends - words.starts)[first]
-    mark = begins[first].astype(np.int64)
+def word_keys(words: tx.Words, begins: np.ndarray) -> np.ndarray:
+    return words.hashes() ^ np.where(begins, np.uint64(1), np.uint64(0))
+
+
+def marked(words: tx.Words, begins: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of chosen words, each with its leading space if it begins a word."""
+    starts, sizes = words.starts[chosen], (words.ends - words.starts)[chosen]
+    mark = begins[chosen].astype(np.int64)
     raw = np.full(int((sizes + mark).sum()), 32, np.uint8)
     to = np.cumsum(sizes + mark) - sizes
     raw[tx.ranges(to, sizes)] = words.raw[tx.ranges(starts, sizes)]
-    return raw, sizes + mark, which
+    return raw, sizes + mark
+
+
+class WordScores:
+    """Log-probabilities of words per language; remembers the words of earlier chunks."""
+
+    def __init__(self, pieces: Pieces, table: np.ndarray):
+        self.pieces, self.table = pieces, table
+        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros((0, table.shape[1]))
+
+    def of(self, words: tx.Words, begins: np.ndarray) -> np.ndarray:
+        keys, first, which = np.unique(
+            word_keys(words, begins), return_index=True, return_inverse=True
+        )
+        logs = np.zeros((len(keys), self.table.shape[1]))
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            new = self.keys[place] != keys
+            logs[~new] = self.logs[place[~new]]
+        if new.any():
+            lattice = Lattice(*marked(words, begins, first[new]), self.pieces)
+            logs[new] = np.log(lattice.forward(self.table)[lattice.last])
+        if len(self.keys) + new.sum() > REMEMBERED:
+            self.keys, self.logs = keys, logs
+        else:
+            every = np.concatenate([self.keys, keys[new]])
+            sort = np.argsort(every)
+            self.keys, self.logs = every[sort], np.concatenate([self.logs, logs[new]])[sort]
+        return logs[which]
 
 
 def score_texts(
     batches: Iterator[pa.RecordBatch], pieces: Pieces, languages: list[str], table: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    for chunk in tx.merged(batches):
+    scores = WordScores(pieces, table)
+    for chunk in tx.merged(batches, limit=CHUNK_BYTES):
         texts = tx.as_strings(chunk.column("text"))
         letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
         n = chunk.num_rows
         names, score = np.full(n, UNKNOWN, object), np.zeros(n)
         words, begins = word_parts(texts)
         if len(words) and languages:
-            raw, lengths, which = distinct_words(words, begins)
-            lattice = Lattice(raw, lengths, pieces)
-            logs = np.log(lattice.forward(table)[lattice.last])
-            ran = np.concatenate([np.zeros((1, len(languages))), np.cumsum(logs[which], axis=0)])
+            logs = scores.of(words, begins)
+            ran = np.concatenate([np.zeros((1, len(languages))), np.cumsum(logs, axis=0)])
             total = ran[words.bounds[1:]] - ran[words.bounds[:-1]]
             best = total.argmax(axis=1)
             odds = np.exp(total - total.max(axis=1, keepdims=True))
@@ -213,12 +247,15 @@ def score_texts(
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each chunk, the word with its leading space."""
-    for chunk in tx.merged(batches):
+    for chunk in tx.merged(batches, limit=CHUNK_BYTES):
         langs = chunk.column("lang").dictionary_encode()
         words, begins = word_parts(chunk.column("text"))
         if not len(words):
             continue
-        raw, lengths, which = distinct_words(words, begins)
+        _, first, which = np.unique(
+            word_keys(words, begins), return_index=True, return_inverse=True
+        )
+        raw, lengths = marked(words, begins, first)
         code = np.repeat(langs.indices.to_numpy(), np.diff(words.bounds))
         pair, n = np.unique(code.astype(np.int64) * len(lengths) + which, return_counts=True)
         ends = np.cumsum(lengths)
