@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import language, leaks
+from quaymetrics.llm import language, leaks, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -65,3 +65,35 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_by_labels(table(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup", sql="""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as p
+  from words, unnest(range(1, len(w) - 48)) as u(i) where len(w) >= 50
+), firsts as (
+  select p, min(doc_id) as first_doc from windows group by p
+), gone as (
+  select distinct doc_id, i + k as j
+  from windows join firsts using (p), unnest(range(0, 50)) as u(k) where first_doc < doc_id
+), every as (
+  select doc_id, j, w[j] as word from words, unnest(range(1, len(w) + 1)) as u(j)
+), kept as (
+  select doc_id, count(gone.j) as n_removed,
+    coalesce(string_agg(word, ' ' order by j) filter (gone.j is null), '') as t
+  from every left join gone using (doc_id, j) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from words left join kept using (doc_id)
+""")
+def substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_passages(table(spark, sf_dir, "documents"))
+    return substring_dedup.passage_report(cut)
+
+
+@query("op6_suffix_array_dedup")
+def suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
