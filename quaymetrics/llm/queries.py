@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import language, leaks, substring_dedup, suffix_dedup
+from quaymetrics.llm import language, leaks, near_dup, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -97,3 +97,44 @@ def substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op9_near_dedup", sql="""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), sets as materialized (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s
+  from words
+), classes as materialized (
+  select min(doc_id) as node, s, len(s) as n from sets where len(s) > 0 group by s
+), tokens as materialized (
+  select node, n, unnest(s) as t from classes
+), ranked as materialized (
+  select node, n, row_number() over (partition by node order by c, t) as r, t
+  from tokens join (select t, count(*) as c from tokens group by t) using (t)
+), pairs as materialized (
+  select distinct a.node as a, b.node as b, a.n as na, b.n as nb
+  from ranked a join ranked b on a.t = b.t and a.node < b.node
+  where a.r <= a.n - ceil(0.8 * a.n) + 1 and b.r <= b.n - ceil(0.8 * b.n) + 1
+    and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links as materialized (
+  select a, b from pairs join tokens x on x.node = a join tokens y on y.node = b and y.t = x.t
+  group by a, b, na, nb having 100 * count(*) >= 80 * (na + nb - count(*))
+), edges as materialized (
+  select a, b from links union all select b, a from links
+), reach as (
+  select node as a, node as b from classes
+  union select r.a, e.b from reach r join edges e on e.a = r.b
+), named as (
+  select a as node, min(b) as component_id from reach group by a
+)
+select sets.doc_id, len(sets.s) as n_shingles, coalesce(component_id, sets.doc_id) as component_id,
+  coalesce(component_id, sets.doc_id) = sets.doc_id as kept
+from sets left join classes on classes.s = sets.s left join named using (node)
+""")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(table(spark, sf_dir, "documents"), shingle=2)
