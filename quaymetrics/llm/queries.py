@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import language, leaks, near_dup, substring_dedup, suffix_dedup
+from quaymetrics.llm import language, leaks, mixing, near_dup, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -138,3 +138,8 @@ from sets left join classes on classes.s = sets.s left join named using (node)
 """)
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query("op7_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
