@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import language, leaks, mixing, near_dup, substring_dedup, suffix_dedup
+from quaymetrics.llm import language, leaks, mixing, near_dup, secrets, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -143,3 +143,8 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_source_mixing")
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query("op2_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(secrets.find_secrets(table(spark, sf_dir, "documents")))
