@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import language, leaks, mixing, near_dup, secrets, substring_dedup, suffix_dedup
+from quaymetrics.llm import imatch, language, leaks, mixing, near_dup, secrets, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -148,3 +148,8 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op4_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
