@@ -152,11 +152,14 @@ def with_next(docs: DataFrame, words: DataFrame) -> DataFrame:
     )
     every = placed.withColumn("copy", F.lit(0)).unionByName(copies)
     near = Window.partitionBy("range").orderBy("copy", *order)
+    # only texts move; signatures are made where the next text has come to stand
+    paired = every.withColumn("next_text", F.lead("text").over(near))
+    signed = sign(paired, words, "text", "signs", "print")
     return (
-        sign(every, words, "text", "signs", "print")
-        .withColumn("next", F.lead(F.struct("text", "signs", "print")).over(near))
+        signed.withColumn("next_signs", F.lead("signs").over(near))
+        .withColumn("next_print", F.lead("print").over(near))
         .where("copy = 0")
-        .select("doc_id", "text", "signs", "print", "next")
+        .drop("mark", "range", "copy")
     )
 
 
@@ -173,7 +176,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     require_columns(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = stored(lexicon(docs), "lexicon")
-    paired = with_next(docs, words).withColumn("other", edited(F.col("text"), F.col("next.text")))
+    paired = with_next(docs, words).withColumn("other", edited(F.col("text"), F.col("next_text")))
     signed = sign(paired, words, "other", "other_signs", "other_print")
     return signed.select(
         "doc_id",
@@ -185,6 +188,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             "near_edited"
         ),
         likeness(
-            F.col("signs"), F.col("next.signs"), F.col("print") == F.col("next.print")
+            F.col("signs"), F.col("next_signs"), F.col("print") == F.col("next_print")
         ).alias("near_next"),
     )
