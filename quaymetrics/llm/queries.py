@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import imatch, language, leaks, mixing, near_dup, secrets, substring_dedup, suffix_dedup
+from quaymetrics.llm import chat, imatch, language, leaks, mixing, near_dup, secrets, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -153,3 +153,30 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts are full of control strings goes with the table's own.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op3_chat_formatting", sql=r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(regexp_replace(text, '[<\[\\]', '..', 'g')) + case role when 'user' then 13 when 'assistant' then 7
+    when 'system' then 11 else 19 + length(regexp_replace(role, '[<\[\\]', '..', 'g')) end)::bigint as formatted_chars
+from rows group by conv_id
+""")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return chat.chat_report(chat.Forest(rows.unionByName(probe)).read_back())
