@@ -16,15 +16,17 @@ SURE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without letters and unsure ones go."""
-    found = language.identify_by_labels(docs).where(
-        (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)
-    )
-    return keep(docs, found)
+    return language.keep_known(docs, SURE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
-    return keep(docs, near_dup.link(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One document, the one with the smallest id, of each group of near-duplicates.
+
+    Rows that share an id are one document; rows without an id stay.
+    """
+    ids = near_dup.link(docs).where("kept").select("doc_id")
+    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +56,6 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents whose id is chosen; rows without an id stay only if a row without is chosen."""
-    ids = chosen.select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc_id"]), "left_semi")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -222,7 +222,8 @@ class WordScores:
 
 def score_texts(
     batches: Iterator[pa.RecordBatch], pieces: Pieces, languages: list[str], table: np.ndarray
-) -> Iterator[pa.RecordBatch]:
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Chunks of the batches with the language and score of each row."""
     scores = WordScores(pieces, table)
     for chunk in tx.merged(batches, limit=CHUNK_BYTES):
         texts = tx.as_strings(chunk.column("text"))
@@ -239,12 +240,30 @@ def score_texts(
             share = odds.max(axis=1) / odds.sum(axis=1)
             names[letters] = np.array(languages, object)[best[letters]]
             score[letters] = share[letters]
+        yield chunk, names, score
+
+
+def predictions(
+    batches: Iterator[pa.RecordBatch], pieces: Pieces, languages: list[str], table: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    for chunk, names, score in score_texts(batches, pieces, languages, table):
         yield pa.record_batch(
             [chunk.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())],
             names=["doc_id", "lang_pred", "score"],
         )
 
 
+def known_rows(
+    batches: Iterator[pa.RecordBatch],
+    pieces: Pieces,
+    languages: list[str],
+    table: np.ndarray,
+    at_least: float,
+) -> Iterator[pa.RecordBatch]:
+    for chunk, names, score in score_texts(batches, pieces, languages, table):
+        yield chunk.filter(pa.array((names != UNKNOWN) & (score >= at_least)))
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each chunk, the word with its leading space."""
     for chunk in tx.merged(batches, limit=CHUNK_BYTES):
@@ -350,7 +369,7 @@ def identify(docs: DataFrame, model: tuple[list[bytes], list[str], np.ndarray])
     names, languages, table = model
     pieces = Pieces(names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda batches: score_texts(batches, pieces, languages, table), RESULT
+        lambda batches: predictions(batches, pieces, languages, table), RESULT
     )
 
 
@@ -358,3 +377,12 @@ def identify_by_labels(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     """Learn from the documents that are not held out, and score all of them."""
     model = train(docs.where(~held_out()), vocabulary)
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, at_least: float = 0.5, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows whose text is in a learned language by a score of `at_least`, as they were."""
+    names, languages, table = train(docs.where(~held_out()), vocabulary)
+    pieces = Pieces(names)
+    return docs.mapInArrow(
+        lambda batches: known_rows(batches, pieces, languages, table, at_least), docs.schema
+    )

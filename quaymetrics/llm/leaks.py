@@ -144,37 +144,35 @@ def search_shards(
         )
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
-) -> DataFrame:
-    """Per document: its words, the merged word spans that phrases cover, and the items found.
-
-    `docs` has doc_id and text, `items` item_id and text. The items reach the tasks in blocks whose
-    size is measured first; with several blocks the documents are read once for each.
-    """
-    tx.require_columns(docs, "doc_id", "text")
+def blocks_of(items: DataFrame, window: int, block_chars: int) -> Iterator[Phrases]:
+    """The phrases of all items, in blocks whose size is measured first."""
     tx.require_columns(items, "item_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
         F.col("text").isNotNull()
     )
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_chars))
-    if n_blocks == 1:
-        return _one_block(docs, items, window)
-    found = []
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        found.append(_one_block(docs, block, window))
-    return merge_blocks(found)
+        rows = block.collect()
+        yield Phrases([r.item_id for r in rows], [r.text for r in rows], window)
 
 
-def _one_block(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    rows = items.collect()
-    phrases = Phrases([r.item_id for r in rows], [r.text for r in rows], window)
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: search_shards(batches, phrases), RESULT
-    )
+def find_leaks(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """Per document: its words, the merged word spans that phrases cover, and the items found.
+
+    `docs` has doc_id and text, `items` item_id and text. The items reach the tasks in blocks of
+    bounded size; with several blocks the documents are read once for each.
+    """
+    tx.require_columns(docs, "doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = [
+        docs.mapInArrow(lambda b, p=phrases: search_shards(b, p), RESULT)
+        for phrases in blocks_of(items, window, block_chars)
+    ]
+    return found[0] if len(found) == 1 else merge_blocks(found)
 
 
 def merge_blocks(found: list[DataFrame]) -> DataFrame:
@@ -227,7 +225,20 @@ def leak_report(leaks: DataFrame) -> DataFrame:
     )
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no phrase occurs, as they were."""
-    hit = find_leaks(docs, items, window).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+def clean_rows(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+    for shard in tx.merged(batches):
+        words = tx.Words(shard.column("text"), tx.NOT_WORD, lower=True)
+        at, _, _ = shard_hits(words, phrases)
+        dirty = np.zeros(shard.num_rows, bool)
+        dirty[np.searchsorted(words.bounds, at, side="right") - 1] = True
+        yield shard.filter(pa.array(~dirty))
+
+
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The rows in whose text no phrase occurs, with all columns as they were."""
+    tx.require_columns(docs, "text")
+    for phrases in blocks_of(items, window, block_chars):
+        docs = docs.mapInArrow(lambda b, p=phrases: clean_rows(b, p), docs.schema)
+    return docs
