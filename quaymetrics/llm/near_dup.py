@@ -7,9 +7,10 @@ exponentially spaced truncated minima; bands of registers give buckets of candid
 1. In each bucket all nodes are paired with the smallest one, so pairs grow with rows.
 2. The pairs' similarity is estimated by joint likelihood of the registers and the exact set sizes;
    pairs far below the threshold go, the rest is verified on the full sets.
-3. Buckets whose nodes are still in several components have their remaining pairs compared by
-   sketch, block against block, and only likely pairs are emitted and verified. So no link is lost
-   that any band has caught, and large groups of copies cost no pairs among themselves.
+3. Buckets whose nodes are still in several components are compared block against block: likely
+   pairs of different components are verified there on the full sets, each pair in the first band
+   that it shares, and one link to each component is emitted. So no link is lost that any band has
+   caught, and large groups of copies make no rows of pairs.
 
 Null texts and texts without words have an empty set, are linked with nothing and kept. Rows that
 share a doc_id are one document. Rows with a null doc_id are never linked, have a null component
@@ -37,7 +38,7 @@ REGISTERS = BANDS * ROWS
 #: Spacing, rate and largest value of the registers.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors that an estimate may lie below the threshold.
-SLACK = 5.0
+SLACK = 4.0
 #: Nodes of one bucket in one task, and partners of one node.
 BLOCK, PARTNERS = 512, 128
 SKETCH = "doc_id long, n_shingles long, one long, two long, sketch binary"
@@ -113,7 +114,7 @@ def sketch_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 
 def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, node) for every band of every sketch."""
+    """(bucket, band, node) for every band of every sketch."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -126,9 +127,10 @@ def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 pa.array(key.reshape(-1).view(np.int64)),
+                pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)),
                 pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)),
             ],
-            names=["bucket", "node"],
+            names=["bucket", "band", "node"],
         )
 
 
@@ -182,54 +184,77 @@ def likely_pairs(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def compare_block(table: pa.Table, at_least: float) -> pa.Table:
-    """Likely pairs of one block: strangers against the main component and each other."""
+def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted set `own` each of the other sets has."""
+    out = np.zeros(len(others), np.int64)
+    done = 0
+    while done < len(others):
+        sizes = np.array([len(x) for x in others[done:]])
+        n = max(1, int(np.searchsorted(np.cumsum(sizes), 1 << 20)))
+        every = np.concatenate(others[done : done + n])
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        hit = np.concatenate([[0], np.cumsum(own[at] == every)])
+        ends = np.cumsum(sizes[:n])
+        out[done : done + n] = hit[ends] - hit[ends - sizes[:n]]
+        done += n
+    return out
+
+
+def compare_block(
+    table: pa.Table, width: int, threshold: tuple[int, int], at_least: float
+) -> pa.Table:
+    """Links of one block: strangers (side 0) with the main component or each other (side 1)."""
     table = table.combine_chunks()
     node, group = table["node"].to_numpy(), table["component"].to_numpy()
-    side, size = table["side"].to_numpy(), table["n_shingles"].to_numpy().astype(float)
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16)
-    sketch = sketch.reshape(-1, REGISTERS)
-    out_a, out_b = [], []
+    side, band = table["side"].to_numpy(), table["band"].to_numpy()
+    raw = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16)
+    sketch = raw.reshape(-1, REGISTERS)
+    shingles, bounds = shingle_sets(unpacked(table["packed"].combine_chunks()), width)
+    sets = [shingles[a:e] for a, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    size = np.diff(bounds).astype(float)
+    part, whole = threshold
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     other = np.flatnonzero(side == 1)
     for i in np.flatnonzero(side == 0):
         pick = other[group[other] != group[i]]
-        pick = pick[node[pick] != node[i]]
+        # a pair belongs to the first band that it shares
+        earlier = (sketch[pick, : ROWS * band[i]] == sketch[i, : ROWS * band[i]]).reshape(
+            len(pick), band[i], ROWS
+        )
+        pick = pick[~earlier.all(axis=2).any(axis=1)]
         if not len(pick):
             continue
-        ok = likely(
-            np.broadcast_to(sketch[i], (len(pick), REGISTERS)),
-            sketch[pick],
-            np.full(len(pick), size[i]),
-            size[pick],
-            at_least,
-        )
-        hits = node[pick[ok]]
-        out_a.append(np.minimum(hits, node[i]))
-        out_b.append(np.maximum(hits, node[i]))
-    empty = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+        mine = np.broadcast_to(sketch[i], (len(pick), REGISTERS))
+        pick = pick[likely(mine, sketch[pick], np.full(len(pick), size[i]), size[pick], at_least)]
+        both = shared(sets[i], [sets[k] for k in pick])
+        pick = pick[whole * both >= part * (size[i] + size[pick] - both)]
+        _, first = np.unique(group[pick], return_index=True)
+        out_a.append(np.full(len(first), node[i]))
+        out_b.append(node[pick[first]])
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
 def verify(table: pa.Table, width: int, threshold: tuple[int, int]) -> pa.Table:
     """The pairs of one node (role 0) with its partners (role 1) that hold on the full sets."""
     shingles, bounds = shingle_sets(unpacked(table["packed"].combine_chunks()), width)
-    role, doc = table["role"].to_numpy(), table["doc_id"].to_numpy()
+    role, doc = table["role"].to_numpy(), table["node"].to_numpy()
     sets = [shingles[bounds[i] : bounds[i + 1]] for i in range(len(doc))]
     out = []
     part, whole = threshold
+    partners = np.flatnonzero(role == 1)
     for i in np.flatnonzero(role == 0):
-        for k in np.flatnonzero(role == 1):
-            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if whole * both >= part * (len(sets[i]) + len(sets[k]) - both):
+        both = shared(sets[i], [sets[k] for k in partners])
+        for k, n in zip(partners, both, strict=True):
+            if whole * n >= part * (len(sets[i]) + len(sets[k]) - n):
                 out.append((doc[i], doc[k]))
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def confirmed(
-    docs: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]
+    texts: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]
 ) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts move once, to their partners."""
+    """The pairs (a, b) whose full sets are similar enough; a text goes to each of its partners."""
     ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("ways"))
     dealt = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), "ways"))
     roles = dealt.select(F.col("b").alias("_doc"), F.col("a").alias("key"), "way", F.lit(1).alias("role"))
@@ -239,10 +264,9 @@ def confirmed(
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"),
         F.lit(0).alias("role"),
     )
-    texts = packed(docs)
-    sent = roles.unionByName(hubs).join(texts, F.col("_doc") == texts["doc_id"])
+    sent = texts.hint("merge").join(roles.unionByName(hubs), F.col("_doc") == texts["node"])
     return (
-        sent.select("key", "way", "role", "doc_id", "packed")
+        sent.select("key", "way", "role", "node", "packed")
         .groupBy("key", "way")
         .applyInArrow(lambda t: verify(t, width, threshold), "a long, b long")
     )
@@ -269,7 +293,9 @@ def link(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
         .dropDuplicates(["node", "one", "two"]),
         "nodes",
     )
-    banded = nodes.select("node", "sketch").mapInArrow(band_keys, "bucket long, node long")
+    banded = nodes.select("node", "sketch").mapInArrow(
+        band_keys, "bucket long, band int, node long"
+    )
     buckets = banded.groupBy("bucket").agg(
         F.min("node").alias("hub"), F.count("*").alias("n")
     ).where("n > 1")
@@ -283,19 +309,23 @@ def link(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
         )
 
     tried = stored(
-        star.join(named("b"), "b")
-        .join(named("a"), "a")
+        star.join(named("b").hint("merge"), "b")
+        .join(named("a").hint("merge"), "a")
         .where(size_ok(threshold))
         .select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
         .mapInArrow(lambda x: likely_pairs(x, at_least), "a long, b long"),
         "star",
     )
-    held = stored(confirmed(docs, tried, shingle, threshold), "links")
+    # the texts that may be compared; each moves once, whatever the number of its partners
+    involved = rows.select("node").distinct()
+    own = packed(docs).withColumnRenamed("doc_id", "node")
+    texts = stored(own.hint("merge").join(involved, "node").select("node", "packed"), "texts")
+    held = stored(confirmed(texts, tried, shingle, threshold), "links")
     twins = members.where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     labels = components(held)
     # buckets that still hold several components
     marked = rows.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+        "bucket", "band", "node", F.coalesce("component", "node").alias("component")
     )
     mixed = (
         marked.groupBy("bucket")
@@ -308,12 +338,16 @@ def link(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
         .drop("_last")
     )
     left = stored(marked.join(mixed, "bucket"), "mixed")
-    found = None
-    if not left.isEmpty():
-        pairs = remaining_pairs(left, nodes, at_least).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(confirmed(docs, pairs, shingle, threshold), "more")
-    links = held if found is None else held.unionByName(found)
+    found = (
+        placed_blocks(left)
+        .join(nodes.select("node", "sketch").hint("merge"), "node")
+        .join(texts.hint("merge"), "node")
+        .groupBy("bucket", "i", "j")
+        .applyInArrow(
+            lambda t: compare_block(t, shingle, threshold, at_least), "a long, b long"
+        )
+    )
+    links = held.unionByName(stored(found, "more"))
     final = components(links.unionByName(twins))
     return (
         sketched.select("doc_id", "n_shingles")
@@ -327,8 +361,8 @@ def link(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     )
 
 
-def remaining_pairs(left: DataFrame, nodes: DataFrame, at_least: float) -> DataFrame:
-    """Likely pairs of different components within buckets, compared block against block."""
+def placed_blocks(left: DataFrame) -> DataFrame:
+    """The rows of mixed buckets in cells (i, j) of a block of strangers or main rows each."""
     stranger = F.col("component") != F.col("main")
     blocks = left.groupBy("bucket").agg(
         F.ceil(F.count(F.when(~stranger, 1)) / BLOCK).alias("main_blocks"),
@@ -364,14 +398,10 @@ def remaining_pairs(left: DataFrame, nodes: DataFrame, at_least: float) -> DataF
             .otherwise(F.array(cell(-1 - j, other_block, 1))),
         )
     )
-    cells = placed.select(
+    return placed.select(
         "bucket",
+        "band",
         "node",
         "component",
         F.explode(F.when(stranger, F.concat(against, among)).otherwise(mains)).alias("cell"),
-    ).select("bucket", "node", "component", "cell.*")
-    return (
-        cells.join(nodes.select("node", "n_shingles", "sketch"), "node")
-        .groupBy("bucket", "i", "j")
-        .applyInArrow(lambda t: compare_block(t, at_least), "a long, b long")
-    )
+    ).select("bucket", "band", "node", "component", "cell.*")
