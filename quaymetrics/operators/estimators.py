@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymetrics.core import hash32, join_null_safe, ratio
-from quaymetrics.session import stored
+from quaymetrics.session import forget, stored
 
 # --- small numeric helpers on the driver ------------------------------------------
 
@@ -192,9 +192,10 @@ def absorb(
     effects: Sequence[str],
     weight: str | None = None,
     tol: float = 1e-9,
-    max_iter: int = 200,
-) -> tuple[DataFrame, int]:
-    """Residuals of `cols` on the effects, as columns `<col>_w`, and the rounds needed.
+    max_iter: int = 400,
+) -> tuple[DataFrame, int, bool]:
+    """Residuals of `cols` on the effects, as columns `<col>_w`, the rounds, and whether the last
+    of them moved less than `tol`.
 
     What the effects take out depends only on the sums per combination of effects, so the
     alternating projections run on that cell table, never on the rows. Hot effect values are
@@ -209,7 +210,7 @@ def absorb(
         "_w",
         *[ratio(F.col(f"_s_{c}"), F.col("_w")).alias(f"_m_{c}") for c in cols],
     ).withColumns({f"_r_{c}": F.col(f"_m_{c}") for c in cols})
-    rounds = 0
+    rounds, converged = 0, len(effects) == 1
     if len(effects) > 1:
         cells = stored(cells, "cells")
     while True:
@@ -228,14 +229,16 @@ def absorb(
         if len(effects) == 1:
             cells = start
             break
-        cells = stored(start, "cells")
+        older, cells = cells, stored(start, "cells")
+        forget(older)
         step = [F.abs(F.col(f"_r_{c}") - F.col(f"_p_{c}")) for c in cols]
         size = [F.abs(F.col(f"_m_{c}")) for c in cols]
         row = cells.agg(
             F.max(F.greatest(*step) if len(step) > 1 else step[0]).alias("d"),
             F.max(F.greatest(*size) if len(size) > 1 else size[0]).alias("s"),
         ).first()
-        if (row["d"] or 0.0) / max(row["s"] or 0.0, 1.0) < tol or rounds >= max_iter:
+        converged = (row["d"] or 0.0) / max(row["s"] or 0.0, 1.0) < tol
+        if converged or rounds >= max_iter:
             break
     taken = cells.select(
         *effects, *[(F.col(f"_m_{c}") - F.col(f"_r_{c}")).alias(f"_t_{c}") for c in cols]
@@ -246,6 +249,7 @@ def absorb(
             *[f"_t_{c}" for c in cols]
         ),
         rounds,
+        converged,
     )
 
 
@@ -280,12 +284,16 @@ def ols_hdfe(
     clusters: Sequence[str] = (),
     weight: str | None = None,
     tol: float = 1e-9,
+    max_iter: int = 400,
 ) -> DataFrame:
-    """Weighted OLS with absorbed effects and cluster-robust errors."""
+    """Weighted OLS with absorbed effects and cluster-robust errors.
+
+    `converged` is false on rows whose projections stopped at `max_iter` rounds.
+    """
     used = [y, *xs, *effects, *clusters, *([weight] if weight else [])]
     clean = df.select(*dict.fromkeys(used)).dropna()
     clean = clean.withColumns({c: F.col(c).cast("double") for c in (y, *xs)})
-    within, rounds = absorb(clean, [y, *xs], effects, weight, tol)
+    within, rounds, converged = absorb(clean, [y, *xs], effects, weight, tol, max_iter)
     cols = [F.col(f"{x}_w") for x in xs]
     w = F.col(weight) if weight else F.lit(1.0)
     k = len(xs)
@@ -297,7 +305,15 @@ def ols_hdfe(
     dof = max(n - k - effect_levels(clean, effects), 1)
     vcov = vcov * (g / max(g - 1, 1)) * ((n - 1) / dof)
     return coefficient_table(
-        clean, xs, beta, vcov, g - 1 if clusters else dof, n_obs=n, n_clusters=g, rounds=rounds
+        clean,
+        xs,
+        beta,
+        vcov,
+        g - 1 if clusters else dof,
+        n_obs=n,
+        n_clusters=g,
+        rounds=rounds,
+        converged=converged,
     )
 
 
@@ -308,10 +324,13 @@ def ppml_hdfe(
     effects: Sequence[str],
     clusters: Sequence[str] = (),
     tol: float = 1e-9,
-    max_iter: int = 50,
+    max_iter: int = 200,
 ) -> DataFrame:
     """Poisson pseudo-likelihood with absorbed effects by reweighted least squares.
 
+    `converged` is false where the deviance still moved after `max_iter` rounds, or a projection
+    of the last round or of the scores did.
+
     Zeros are kept. A regressor constant within zeros and within positives, with different
     values, is reported as separated. The working table is stored each round, so the
     plan does not grow and a lost executor costs one round.
@@ -347,31 +366,34 @@ def ppml_hdfe(
     ]
     base = stored(base, "poisson-rows")
     work = base.withColumn("_mu", yy + 0.1).withColumn("_eta", F.ln("_mu"))
-    k, beta, last, rounds = len(xs), np.zeros(len(xs)), None, 0
+    k, beta, last, rounds, converged = len(xs), np.zeros(len(xs)), None, 0, False
     while rounds < max_iter:
         rounds += 1
         z = F.col("_eta") + (yy - F.col("_mu")) / F.col("_mu")
         # Inner projections need only be as precise as the outer step is still long.
         inner = 1e-5 if rounds <= 2 else tol
-        within, _ = absorb(work.withColumn("_z", z), ["_z", *xs], effects, "_mu", inner)
+        within, _, inner_ok = absorb(work.withColumn("_z", z), ["_z", *xs], effects, "_mu", inner)
         cols = [F.col(f"{x}_w") for x in xs]
         gram, n = cross_products(within, [*cols, F.col("_z_w")], F.col("_mu"))
         inv = np.linalg.pinv(gram[:k, :k])
         beta = inv @ gram[:k, k]
         eta = F.col("_z") - (F.col("_z_w") - linear(beta, cols))
         bounded = F.least(F.greatest(eta, F.lit(-80.0)), F.lit(80.0))
-        work = stored(
+        older, work = work, stored(
             within.withColumn("_eta", bounded)
             .withColumn("_mu", F.exp("_eta"))
             .select(*base.columns, "_mu", "_eta"),
             "poisson",
         )
+        forget(older)
         gap = F.when(pos, yy * F.ln(yy / F.col("_mu"))).otherwise(0.0) - (yy - F.col("_mu"))
         dev = 2.0 * work.agg(F.sum(gap)).first()[0]
         if last is not None and abs(last - dev) / (abs(dev) + 0.1) < tol:
+            converged = inner_ok
             break
         last = dev
-    within, _ = absorb(work, list(xs), effects, "_mu", tol)
+    within, _, scores_ok = absorb(work, list(xs), effects, "_mu", tol)
+    converged = converged and scores_ok
     cols = [F.col(f"{x}_w") for x in xs]
     gram, n = cross_products(within, cols, F.col("_mu"))
     inv = np.linalg.pinv(gram)
@@ -387,6 +409,7 @@ def ppml_hdfe(
         n_obs=n,
         n_clusters=g,
         rounds=rounds,
+        converged=converged,
         n_zero=spread["zeros"],
         separated=",".join(separated),
     )
@@ -446,7 +469,7 @@ def wild_bootstrap(
     """
     clean = df.select(*dict.fromkeys([y, *xs, *effects, cluster])).dropna()
     clean = clean.withColumns({c: F.col(c).cast("double") for c in (y, *xs)})
-    within, _ = absorb(clean, [y, *xs], effects)
+    within, _, _ = absorb(clean, [y, *xs], effects)
     k = len(xs)
     cols = [F.col(f"{x}_w") for x in xs]
     yw = F.col(f"{y}_w")

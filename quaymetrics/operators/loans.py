@@ -93,8 +93,22 @@ def censoring_reason(code: Column) -> Column:
 
 
 def entity_events(months: DataFrame, orig: DataFrame) -> DataFrame:
-    """One row per loan: span, exit resolved by priority, gaps, reappearance, conflicts."""
+    """One row per loan: span, exit resolved by priority, gaps, reappearance, conflicts.
+
+    The exit is dated by the zero balance's effective month where the months have that column, and
+    by the month that reports it otherwise. `ever_30d_plus` is null without a delinquency status,
+    `entry_date` without a first payment date.
+    """
     code, period = F.col("zero_balance_code"), F.col("period")
+    dated = period
+    if "zero_balance_effective_date" in months.columns:
+        dated = F.coalesce("zero_balance_effective_date", period)
+    late = F.first(F.lit(None).cast("boolean"))
+    if "delinquency_status" in months.columns:
+        late = F.coalesce(F.bool_or(F.col("delinquency_status").isin("1", "2", "3")), F.lit(False))
+    if "first_payment_date" not in orig.columns:
+        orig = orig.withColumn("first_payment_date", F.lit(None).cast("date"))
+    orig = orig.withColumnRenamed("first_payment_date", "entry_date")
     exit_key = F.when(code.isNotNull(), F.struct(exit_priority(code).alias("p"), period))
     back = F.col("loan_age") - F.lag("loan_age").over(ordered([LOAN], "period"))
     modified = (
@@ -114,7 +128,8 @@ def entity_events(months: DataFrame, orig: DataFrame) -> DataFrame:
             F.coalesce(F.bool_or(modified), F.lit(False)).alias("ever_modified"),
             F.coalesce(F.bool_or("_back"), F.lit(False)).alias("modification_reset"),
             F.max_by("current_upb", "period").alias("last_upb"),
-            F.min_by(F.struct(code.alias("code"), period.alias("at")), exit_key).alias("_exit"),
+            late.alias("ever_30d_plus"),
+            F.min_by(F.struct(code.alias("code"), dated.alias("at")), exit_key).alias("_exit"),
             F.count(code).alias("_exits"),
         )
     )

@@ -114,15 +114,23 @@ def calendar_coverage(df: DataFrame, ts: str, first: str, last: str) -> DataFram
 
 
 def edge_checks(edges: DataFrame) -> DataFrame:
-    """An exposure map has unique pairs, no self edges, positive weights, and is symmetric."""
+    """An exposure map has unique pairs, no self edges, positive weights, and is symmetric.
+
+    Every edge counts once, however often its pair or the reverse pair is repeated; an edge is
+    uneven when any reverse edge is missing or differs in weight.
+    """
     pair = ["focal_zone_id", "neighbor_zone_id"]
-    reverse = edges.select(
+    reverse = edges.groupBy(
         F.col("neighbor_zone_id").alias("focal_zone_id"),
         F.col("focal_zone_id").alias("neighbor_zone_id"),
-        F.col("weight").alias("_back"),
-    )
+    ).agg(F.min("weight").alias("_least"), F.max("weight").alias("_most"))
     both = edges.join(reverse, pair, "left")
-    uneven = F.col("_back").isNull() | (F.abs(F.col("weight") - F.col("_back")) > 1e-12)
+    weight = F.col("weight")
+    uneven = (
+        F.col("_least").isNull()
+        | (F.abs(weight - F.col("_least")) > 1e-12)
+        | (F.abs(weight - F.col("_most")) > 1e-12)
+    )
     return both.agg(
         F.count(F.lit(1)).alias("edges"),
         (F.count(F.lit(1)) - F.count_distinct(F.struct(*pair))).alias("duplicate_pairs"),

@@ -142,6 +142,32 @@ def _(v):
     return LN.events_view(v).select(*EVENT_COLUMNS.split(", "))
 
 
+@query(
+    "A12_effective_dates",
+    """
+with m as (select *, case when zero_balance_code is not null and loan_seq_no % 3 = 0 then cast(period - interval 2 month as date) end as effective, cast(n_rows % 5 as varchar) as status from months),
+x as (select loan_seq_no, coalesce(effective, period) as exit_at from (
+  select *, row_number() over (partition by loan_seq_no order by case zero_balance_code when '15' then 1 when '03' then 5 else 7 end, period) as rn from m where zero_balance_code is not null) z where rn = 1),
+s as (select loan_seq_no, max(period) as last_observed_period, bool_or(status in ('1', '2', '3')) as ever_30d_plus from m group by loan_seq_no)
+select s.loan_seq_no, exit_at as event_date, coalesce(least(exit_at, last_observed_period), last_observed_period) as observation_end,
+  coalesce(last_observed_period > exit_at, false) as reappeared_after_exit, ever_30d_plus, o.approx_origination_date as entry_date
+from s left join x on s.loan_seq_no = x.loan_seq_no join orig o on s.loan_seq_no = o.loan_seq_no
+""",
+)
+def _(v):
+    exits = F.col("zero_balance_code").isNotNull() & (F.col("loan_seq_no") % 3 == 0)
+    months = LN.months_view(v).withColumns(
+        {
+            "zero_balance_effective_date": F.when(exits, F.add_months("period", -2)),
+            "delinquency_status": (F.col("n_rows") % 5).cast("string"),
+        }
+    )
+    orig = LN.originations_view(v).withColumn("first_payment_date", F.col("approx_origination_date"))
+    return LN.entity_events(months, orig).select(
+        "loan_seq_no", "event_date", "observation_end", "reappeared_after_exit", "ever_30d_plus", "entry_date"
+    )
+
+
 @query(
     "A13_event_summary",
     """

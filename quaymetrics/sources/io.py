@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,30 +35,46 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
 
 
-def read_piped(spark: SparkSession, path: str, layouts: Sequence[T.StructType]) -> DataFrame:
-    """Headerless pipe-delimited text.
+def read_piped(
+    spark: SparkSession, path: str, layouts: Mapping[str, T.StructType]
+) -> DataFrame:
+    """Headerless pipe-delimited text, each file by a layout of its own.
 
-    The most common field count names the layout; short rows are padded with nulls, extra
-    fields are dropped, and a count no layout has is an error.
+    A file's most common field count names its layout; a count that no layout has is an error.
+    The result has the fields of all layouts, null where a file's layout lacks one, and the
+    layout's label. Within a file short lines are padded with nulls; `extra_fields` tells how many
+    fields of a longer line are beyond the layout.
     """
-    fields = spark.read.text(path).select(F.split("value", r"\|", -1).alias("f"))
-    modal = (
-        fields.groupBy(F.size("f").alias("n"))
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .orderBy(F.desc("lines"), "n")
-        .first()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.split("value", r"\|", -1).alias("_f")
+    )
+    counts = lines.groupBy("_file", F.size("_f").alias("n")).agg(F.count(F.lit(1)).alias("lines"))
+    modal = counts.groupBy("_file").agg(
+        F.max_by("n", F.struct("lines", (-F.col("n")).alias("fewest"))).alias("n")
     )
-    known = {len(s): s for s in layouts}
-    if modal is None or modal["n"] not in known:
-        raise ValueError(f"no layout has {modal and modal['n']} fields")
-    layout = known[modal["n"]]
-    return fields.select(
-        *[
-            F.nullif(F.trim(F.try_element_at("f", F.lit(i + 1))), F.lit(""))
-            .try_cast(f.dataType)
-            .alias(f.name)
-            for i, f in enumerate(layout)
-        ]
+    label = F
+    for name, layout in layouts.items():
+        label = label.when(F.col("n") == len(layout), F.lit(name))
+    named = modal.select("_file", "n", label.alias("layout"))
+    unknown = named.where("layout is null").limit(1).collect()
+    if unknown:
+        raise ValueError(f"no layout has {unknown[0]['n']} fields")
+    fields: dict[str, T.DataType] = {}
+    for layout in layouts.values():
+        fields |= {f.name: f.dataType for f in layout}
+
+    def value(field: str) -> Column:
+        out = F
+        for name, layout in layouts.items():
+            if field in layout.names:
+                at = F.try_element_at("_f", F.lit(layout.names.index(field) + 1))
+                out = out.when(F.col("layout") == name, F.nullif(F.trim(at), F.lit("")))
+        return out.try_cast(fields[field]).alias(field)
+
+    return lines.join(named, "_file").select(
+        *[value(f) for f in fields],
+        "layout",
+        F.greatest(F.size("_f") - F.col("n"), F.lit(0)).alias("extra_fields"),
     )
 
 
@@ -134,13 +150,20 @@ def profile(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-independent content fingerprint: one row, additive over partitions."""
+    """Order-independent content fingerprint: one row, additive over partitions.
+
+    Values go in with their lengths, so no two rows read alike, and hashes are summed, so repeated
+    rows count as often as they stand.
+    """
     cols = list(columns or sorted(df.columns))
-    tagged = [F.coalesce(col(c).cast("string"), F.lit("<null>")) for c in cols]
+    texts = [col(c).cast("string") for c in cols]
+    tagged = [F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("null")) for t in texts]
+    row = F.xxhash64(*tagged)
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum(hash32(*tagged)).alias("md5_sum"),
-        F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("xxhash_xor"),
+        F.sum(row.cast("decimal(20,0)")).alias("xxhash_sum"),
+        F.bit_xor(row).alias("xxhash_xor"),
     )
 
 
