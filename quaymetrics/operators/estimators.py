@@ -459,7 +459,7 @@ def wild_bootstrap(
     xs: Sequence[str],
     effects: Sequence[str],
     cluster: str,
-    replicates: int = 199,
+    replicates: int = 999,
     salt: str = "boot",
 ) -> DataFrame:
     """Bootstrap-t p-value of the first regressor with the null imposed.
@@ -576,15 +576,21 @@ def _per_fold(fold: str, values: Mapping[int, Column]) -> Column:
     return out.otherwise(F.lit(None).cast("double"))
 
 
+NEWTON_ROUNDS = 100
+
+
 def _propensity(
     df: DataFrame, xs: Sequence[str], treatment: str, fold: str, folds: int
 ) -> DataFrame:
-    """Cross-fitted logistic propensity: one Newton path per fold, all folds in one pass."""
+    """Cross-fitted logistic propensity: one Newton path per fold, all folds in one pass.
+
+    A fold whose path does not settle, as when the covariates separate the arms, is an error.
+    """
     _, cols = _design(xs, True)
     k = len(cols)
     betas = {f: np.zeros(k) for f in range(folds)}
     t = F.col(treatment).cast("double")
-    for _ in range(25):
+    for _ in range(NEWTON_ROUNDS):
         aggs = []
         for f, b in betas.items():
             p = 1.0 / (1.0 + F.exp(-linear(b, cols)))
@@ -608,6 +614,8 @@ def _propensity(
             longest = max(longest, float(np.max(np.abs(step))))
         if longest < 1e-8:
             break
+    else:
+        raise ValueError(f"propensity not settled after {NEWTON_ROUNDS} rounds; arms separated?")
     p = {f: 1.0 / (1.0 + F.exp(-linear(b, cols))) for f, b in betas.items()}
     return df.withColumn("propensity", _per_fold(fold, p))
 
@@ -708,8 +716,15 @@ def s_learner(
 # --- synthetic control ------------------------------------------------------------
 
 
-def simplex_weights(gram: np.ndarray, cross: np.ndarray, rounds: int = 5000) -> np.ndarray:
-    """Minimise w'Gw - 2c'w over the simplex by accelerated projected gradient."""
+#: Donors whose products are solved for at once; more are an error, not a sample.
+MOST_DONORS = 2000
+
+
+def simplex_weights(
+    gram: np.ndarray, cross: np.ndarray, rounds: int = 50_000
+) -> tuple[np.ndarray, bool]:
+    """Minimise w'Gw - 2c'w over the simplex by accelerated projected gradient; and whether the
+    last round still moved."""
     k = len(cross)
     w = v = np.full(k, 1.0 / k)
     top = float(np.linalg.eigvalsh(gram)[-1])
@@ -722,10 +737,9 @@ def simplex_weights(gram: np.ndarray, cross: np.ndarray, rounds: int = 5000) ->
         nxt = (1.0 + math.sqrt(1.0 + 4.0 * momentum**2)) / 2.0
         v = new + (momentum - 1.0) / nxt * (new - w)
         if float(np.max(np.abs(new - w))) < 1e-13:
-            w = new
-            break
+            return new, True
         w, momentum = new, nxt
-    return w
+    return w, False
 
 
 def synthetic_control(
@@ -742,6 +756,9 @@ def synthetic_control(
     span = pre.agg(F.count_distinct("t")).scalar()
     whole = pre.groupBy("u").agg(F.count("v").alias("n")).where(F.col("n") == span).select("u")
     pre = pre.join(whole, "u", "left_semi")
+    n_units = whole.limit(MOST_DONORS + 2).count()
+    if n_units > MOST_DONORS + 1:
+        raise ValueError(f"more than {MOST_DONORS} donors; name a narrower donor pool")
     a, b = pre.alias("a"), pre.alias("b")
     products = (
         a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.u") <= F.col("b.u")))
@@ -761,7 +778,7 @@ def synthetic_control(
     scale = max(at(str(treated), str(treated)), 1e-300)
     gram = np.array([[at(i, j) for j in donors] for i in donors]) / scale
     cross = np.array([at(i, str(treated)) for i in donors]) / scale
-    weights = simplex_weights(gram, cross)
+    weights, converged = simplex_weights(gram, cross)
     w = panel.sparkSession.createDataFrame(
         [(d, float(x)) for d, x in zip(donors, weights, strict=True)], "u string, w double"
     )
@@ -776,4 +793,5 @@ def synthetic_control(
             - F.sum(F.when(~mine, F.coalesce("w", F.lit(0.0)) * F.col(y)))
         ).alias("gap"),
         F.max((F.col(time) >= first_post).cast("int")).alias("post"),
+        F.lit(converged).alias("converged"),
     )

@@ -296,9 +296,10 @@ def hazard_glm(
             featuresCol="_x",
             labelCol=outcome,
             weightCol=weight,
-            maxIter=50,
+            maxIter=100,
             tol=1e-10,
         ).fit(data)
+        rounds = int(model.summary.numIterations)
         beta = np.array([model.intercept, *model.coefficients.toArray()])
         cols = [F.lit(1.0), *[F.col(c) for c in names]]
         eta = linear(beta, cols)
@@ -321,7 +322,7 @@ def hazard_glm(
         data.unpersist()
     table = coefficient_table(
         df, ["intercept", *names], beta, vcov, g - 1, n_obs=n, n_clusters=g, link=link,
-        n_events=int(effect["e"]),
+        n_events=int(effect["e"]), rounds=rounds, converged=rounds < 100,
     )
     return table.withColumns(
         {

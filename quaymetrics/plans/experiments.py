@@ -324,7 +324,7 @@ def _(v):
 @query("E11_ppml_hdfe")
 def _(v):
     return E.ppml_hdfe(
-        regression_panel(v), "value_k", ["log_tariff"], ["flow_id", "month_key"], ["hs10"], tol=1e-6
+        regression_panel(v), "value_k", ["log_tariff"], ["flow_id", "month_key"], ["hs10"]
     )
 
 
@@ -423,7 +423,7 @@ def _(v):
     for channel in ("imported_input_cost_exposure", "downstream_total_requirements_exposure"):
         data = panel.withColumn("exposure_x_post", F.col(channel) * F.col("post"))
         boot = E.wild_bootstrap(
-            data, "log_ppi", ["exposure_x_post"], ["bea_industry", "month_date"], "industry", 99
+            data, "log_ppi", ["exposure_x_post"], ["bea_industry", "month_date"], "industry"
         ).withColumn("channel", F.lit(channel))
         out = boot if out is None else out.unionByName(boot)
     return out
@@ -434,7 +434,7 @@ def _(v):
     data = did_panel(v).withColumns(
         {"did": (F.col("treated") * F.col("post")).cast("double"), "cluster": F.col("unit")}
     )
-    return E.wild_bootstrap(data, "y", ["did"], ["unit", "time"], "cluster", 199)
+    return E.wild_bootstrap(data, "y", ["did"], ["unit", "time"], "cluster")
 
 
 @query("E17_aipw")
@@ -450,7 +450,7 @@ def _(v):
 
 @query("E18_s_learner")
 def _(v):
-    out = E.s_learner(units(v), "y", "t", ["x", "h"], "id", folds=2, trees=10, depth=4)
+    out = E.s_learner(units(v), "y", "t", ["x", "h"], "id", folds=2)
     return out.select("id", "x", "h", "estimated_effect")
 
 

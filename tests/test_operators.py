@@ -164,7 +164,8 @@ def test_student_tail():
 def test_synthetic_weights_find_the_mixture():
     paths = np.random.default_rng(0).normal(size=(20, 4))
     target = paths @ np.array([0.7, 0.3, 0.0, 0.0])
-    w = E.simplex_weights(paths.T @ paths, paths.T @ target)
+    w, converged = E.simplex_weights(paths.T @ paths, paths.T @ target)
+    assert converged
     assert np.allclose(w, [0.7, 0.3, 0, 0], atol=1e-4)
 
 
@@ -172,3 +173,75 @@ def test_balanced_counts_use_every_cluster():
     assert sum(X.balanced_counts(8, [1 / 3] * 3)) == 8
     with pytest.raises(ValueError):
         X.balanced_counts(2, [1 / 3] * 3)
+
+
+def test_repeated_edges_count_once_each(spark):
+    from quaymetrics.operators.quality import edge_checks
+
+    rows = [("a", "b", 1.0), ("b", "a", 1.0)] * 3 + [("c", "d", 1.0), ("c", "c", 2.0)]
+    edges = spark.createDataFrame(rows, "focal_zone_id string, neighbor_zone_id string, weight double")
+    got = edge_checks(edges).first().asDict()
+    assert (got["edges"], got["duplicate_pairs"], got["self_edges"], got["asymmetric_edges"]) == (8, 4, 1, 1)
+
+
+def test_fingerprint_tells_rows_and_repeats_apart(spark):
+    from quaymetrics.sources.io import fingerprint
+
+    def of(*rows):
+        row = fingerprint(spark.createDataFrame(rows, "a string, b string")).first()
+        return row["md5_sum"], row["xxhash_sum"]
+
+    assert of(("a|", "b")) != of(("a", "|b"))
+    assert of(("a", "b"), ("a", "b")) != of(("c", "d"), ("c", "d"))
+    assert of(("a", "b"), ("c", None)) == of(("c", None), ("a", "b"))
+
+
+def test_unknown_layout_is_an_error(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from quaymetrics.sources.io import read_piped
+
+    (tmp_path / "x.txt").write_text("1|2|3\n")
+    two = T.StructType().add("a", T.LongType()).add("b", T.LongType())
+    with pytest.raises(ValueError, match="no layout has 3 fields"):
+        read_piped(spark, str(tmp_path), {"two": two})
+
+
+def test_unfinished_projection_is_told(spark):
+    import os
+
+    from quaymetrics.operators import estimators as E
+    from quaymetrics.session import shared_dir
+
+    rows = [(i % 7, (i * i) % 5, float(i % 11), float((i * 7) % 13)) for i in range(200)]
+    df = spark.createDataFrame(rows, "f int, g int, x double, y double")
+    short = E.ols_hdfe(df, "y", ["x"], ["f", "g"], max_iter=1).first()
+    assert not short["converged"]
+    root = shared_dir(spark)
+    before = set(os.listdir(root))
+    full = E.ols_hdfe(df, "y", ["x"], ["f", "g"]).first()
+    assert full["converged"] and full["rounds"] > 1
+    # of all rounds at most the last one's table is left
+    assert len(set(os.listdir(root)) - before) <= 1
+
+
+def test_separated_arms_are_an_error(spark):
+    from quaymetrics.operators import estimators as E
+
+    rows = [(i, float(i >= 50), float(i), float(i % 5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, t double, x double, y double")
+    with pytest.raises(ValueError):
+        E.aipw(df, "y", "t", ["x"], "id", folds=2).collect()
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quaymetrics.session import shared_dir
+
+    remote = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda k, d: d),
+        sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(remote)
