@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaymetrics.operators.sets import dedup
+from quaymetrics.core import time_bin
 from quaymetrics.sources.io import scratch
 
 
@@ -61,52 +61,64 @@ def reconcile_rows(ingested: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def zone_time_stream(
-    trips: DataFrame,
-    path: str,
-    checkpoint: str,
-    window: str = "15 minutes",
-    lateness: str = "1 hour",
-) -> DataFrame:
-    """Running counts per zone and tumbling window; rows later than the watermark are dropped.
+CELL = ["source", "zone_type", "zone_id", "time_bin"]
+COUNTS = ["trip_count", "total_fare", "od_pair_observed_count"]
+
 
-    Update mode emits a window each time it changes. Updates are kept by batch and the table is
-    the last update of every cell, which also makes a replayed batch harmless.
+def zone_time_stream(trips: DataFrame, path: str, checkpoint: str, minutes: int = 15) -> DataFrame:
+    """Running counts per zone and tumbling window, however late a row comes.
+
+    Counts and sums are additive, so each batch leaves its own sums and the table is their total:
+    no state to expire and no watermark that would drop late rows. A replayed batch replaces its
+    folder. Sums of all batches up to a run's end are folded into one folder, which a later run
+    reads instead of them.
     """
-    counts = (
-        trips.withColumn("event_time", F.col("pickup_datetime").cast("timestamp"))
-        .withWatermark("event_time", lateness)
-        .groupBy("source", "zone_type", "pickup_zone_id", F.window("event_time", window))
-        .agg(
-            F.count(F.lit(1)).alias("trip_count"),
-            F.sum("fare").alias("total_fare"),
-            F.count("dropoff_zone_id").alias("od_pair_observed_count"),
-        )
-        .select(
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(
             "source",
             "zone_type",
             F.col("pickup_zone_id").alias("zone_id"),
-            F.col("window.start").cast("timestamp_ntz").alias("time_bin"),
-            "trip_count",
-            "total_fare",
-            "od_pair_observed_count",
+            time_bin("pickup_datetime", minutes).alias("time_bin"),
+        ).agg(
+            F.count(F.lit(1)).alias("trip_count"),
+            F.sum("fare").alias("total_fare"),
+            F.count("dropoff_zone_id").alias("od_pair_observed_count"),
         )
-    )
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        sums.write.mode("overwrite").parquet(f"{path}/deltas/batch_id={batch_id}")
 
     query = (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(upsert)
+        trips.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    updates = trips.sparkSession.read.parquet(path)
-    keys = ["source", "zone_type", "zone_id", "time_bin"]
-    return dedup(updates, keys, ["batch_id"], last=True).drop("batch_id")
+    return fold(trips.sparkSession, path)
+
+
+def fold(spark: SparkSession, path: str) -> DataFrame:
+    """Totals of all batches, kept in a folder named by the last batch they hold."""
+    deltas = spark.read.option("basePath", f"{path}/deltas").parquet(f"{path}/deltas")
+    last = deltas.agg(F.max("batch_id")).first()[0]
+    before = folded(spark, path)
+    done = max(before, default=-1)
+    if last > done:
+        new = deltas.where(F.col("batch_id") > done).select(*CELL, *COUNTS)
+        if done >= 0:
+            new = new.unionByName(spark.read.parquet(f"{path}/upto={done}"))
+        total = new.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in COUNTS])
+        total.write.mode("overwrite").parquet(f"{path}/upto={last}")
+    return spark.read.parquet(f"{path}/upto={last}")
+
+
+def folded(spark: SparkSession, path: str) -> list[int]:
+    """Last batches of the finished folders of totals."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [str(x.getPath()) for x in files.listStatus(where)]
+    done = [n for n in names if "/upto=" in n]
+    ok = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(n.rpartition("=")[2]) for n in done if files.exists(ok(f"{n}/_SUCCESS"))]
 
 
 def places(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -245,3 +245,35 @@ def test_cluster_needs_a_shared_folder():
     )
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(remote)
+
+
+def test_late_rows_and_later_runs_are_counted(spark, tmp_path):
+    from quaymetrics.streaming import zones as Z
+
+    schema = (
+        "source string, zone_type string, pickup_zone_id string, pickup_datetime timestamp_ntz, "
+        "dropoff_zone_id string, fare double"
+    )
+
+    def land(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        log = Z.read_log(spark, str(tmp_path / "in"), _parse(schema), "*.parquet", max_files=1)
+        out = Z.zone_time_stream(log, str(tmp_path / "out"), str(tmp_path / "state"))
+        return {(r["zone_id"], r["time_bin"]): (r["trip_count"], r["total_fare"]) for r in out.collect()}
+
+    day = dt.datetime(2024, 1, 2)
+    land("a", [("s", "z", "1", day, None, 1.0), ("s", "z", "1", day + dt.timedelta(days=3), "2", 2.0)])
+    first = run()
+    assert first[("1", day)] == (1, 1.0)
+    assert run() == first  # nothing new
+    land("b", [("s", "z", "1", day, "2", 5.0), ("s", "z", "2", day, "2", None)])  # days late
+    later = run()
+    assert later[("1", day)] == (2, 6.0) and later[("2", day)] == (1, None) and len(later) == 3
+
+
+def _parse(schema):
+    from pyspark.sql import types as T
+
+    return T._parse_datatype_string(schema)
