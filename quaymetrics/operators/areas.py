@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quaymetrics.core import ratio, rows_to_here, total
 from quaymetrics.functions.columns import iso_weekday
@@ -132,8 +133,10 @@ def group_monthly(panel: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(*_activity(), F.count_distinct("service_date").alias("observed_days"))
     )
     n, classified = F.col("published_completed_trips"), F.col("income_group") != "unclassified"
-    everything = total(month, F.sum(n))
-    known = total(month, F.sum(F.when(classified, n)))
+    # one row per group by now, so the whole is summed over the groups and nothing is read again
+    groups_of_all = Window.partitionBy()
+    everything = F.sum(n).over(groups_of_all)
+    known = F.sum(F.when(classified, n)).over(groups_of_all)
     return month.withColumns(
         {
             "mean_daily_trips": ratio(n, F.col("observed_days")),

@@ -187,14 +187,24 @@ def trip_moments(
         ("fare", f, (0.1, 0.5, 0.9, 0.99)),
         ("pay", p, (0.1, 0.5, 0.9, 0.99)),
     ]
-    for name, c, probs in wanted:
-        names = {f"{name}_p{int(q * 100)}": q for q in probs}
-        if approximate:
-            part = df.agg(*[F.percentile_approx(c, q, 10000).alias(n) for n, q in names.items()])
-        else:
-            part = quantiles(df, [], c, names)
-        out = out.withColumns(scalars(part))
-    return out
+    named = [(name, c, f"p{int(q * 100)}", q) for name, c, probs in wanted for q in probs]
+    if approximate:
+        part = df.agg(*[F.percentile_approx(c, q, 10000).alias(f"{m}_{n}") for m, c, n, q in named])
+    else:
+        # all measures as one stream of (measure, value), so the trips are read once for them
+        pairs = [
+            F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value"))
+            for m, c, _ in wanted
+        ]
+        stream = df.select(F.inline(F.array(*pairs)))
+        found = quantiles(stream, ["measure"], "value", {n: q for _, _, n, q in named})
+        part = found.agg(
+            *[
+                F.max(F.when(F.col("measure") == m, F.col(n))).alias(f"{m}_{n}")
+                for m, _, n, _ in named
+            ]
+        )
+    return out.withColumns(scalars(part))
 
 
 def variance_decomposition(panel: DataFrame) -> DataFrame:
