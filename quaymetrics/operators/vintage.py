@@ -264,14 +264,19 @@ def _one_per_instant(vintages: DataFrame) -> DataFrame:
 
 
 def snapshots(
-    vintages: DataFrame, points: DataFrame, mode: str = AS_OF, period_limit: str | None = None
+    vintages: DataFrame,
+    points: DataFrame,
+    mode: str = AS_OF,
+    period_limit: str | None = None,
+    recent: tuple[Sequence[str], int] | None = None,
 ) -> DataFrame:
     """The snapshot of a series at every cutoff, all cutoffs at once.
 
     `points` holds (series_id, as_of_timestamp, ...) and may hold a latest period wanted.
     The result has one row per point and cell in its information set. The only join that
     multiplies rows is the one that makes these result rows; the vintages are matched to them
-    by an as-of merge within the cell.
+    by an as-of merge within the cell. `recent` = (keys of a point, n) keeps each point's n latest
+    cells, before any vintage is matched.
     """
     versions = _one_per_instant(vintages)
     cells = versions.groupBy(*CELL).agg(
@@ -283,6 +288,14 @@ def snapshots(
         wanted = wanted.where(F.col("eligibility_timestamp") <= F.col("as_of_timestamp"))
     if period_limit is not None:
         wanted = wanted.where(F.col("observation_date") <= F.col(period_limit))
+    if recent is not None:
+        keys, n = recent
+        latest = ordered(keys, F.desc("observation_date"))
+        wanted = (
+            wanted.withColumn("_nth", F.row_number().over(latest))
+            .where(F.col("_nth") <= n)
+            .drop("_nth")
+        )
     if mode != AS_OF:
         return wanted.withColumns(
             {
@@ -359,8 +372,9 @@ def feature_matrix(
     """
     keys = ["forecast_id", "feature_name"]
     plan = _spec_rows(origins, specs).withColumn("source_period_cutoff", _period_cutoff())
-    depth = max(2, *[s.window or 1 for s in specs])
-    rows = snapshots(vintages, plan, mode, "source_period_cutoff")
+    # two cells for a change, three months for a quarter, or a window's
+    depth = max(3, *[s.window or 1 for s in specs])
+    rows = snapshots(vintages, plan, mode, "source_period_cutoff", (keys, depth))
     by_recency = ordered(keys, F.desc("observation_date"))
     recent = rows.withColumn("_rank", F.row_number().over(by_recency))
     d, cutoff = F.col("observation_date"), F.col("source_period_cutoff")
