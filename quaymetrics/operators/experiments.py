@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quaymetrics.core import hash32, hash_rank, quantiles, ratio, share, total
+from quaymetrics.core import hash32, hash_rank, join_null_safe, quantiles, ratio, share, total
 from quaymetrics.operators import estimators as E
 
 # --- assignment -------------------------------------------------------------------
@@ -411,16 +411,13 @@ def event_means(
 ) -> DataFrame:
     """Raw means by event time and treatment status."""
     inside = F.col("event_time").between(*window) & F.col(outcome).isNotNull()
-    return (
-        df.where(inside)
-        .groupBy("event_time", treated)
-        .agg(
-            F.avg(outcome).alias("mean"),
-            F.percentile(outcome, 0.5).alias("median"),
-            F.stddev_samp(outcome).alias("sd"),
-            F.count(F.lit(1)).alias("n_obs"),
-        )
+    rows, keys = df.where(inside), ["event_time", treated]
+    means = rows.groupBy(*keys).agg(
+        F.avg(outcome).alias("mean"),
+        F.stddev_samp(outcome).alias("sd"),
+        F.count(F.lit(1)).alias("n_obs"),
     )
+    return join_null_safe(means, quantiles(rows, keys, outcome, {"median": 0.5}), keys)
 
 
 def stack_cohorts(

@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from quaymetrics.core import (
     asof_backward,
+    join_null_safe,
     month_index,
     ordered,
+    quantiles,
     ratio,
     scalars,
     share,
@@ -343,13 +345,41 @@ def active_stock(
 ) -> DataFrame:
     """Geography-month stock: rates under both weights, shares, medians, deciles, exits.
 
-    Percentiles keep counts per distinct value, and loans of one geography-month have few
-    distinct coupons; balances are reported to the cent.
+    Quantiles of all measures come from one stream of (cell, measure, value), worked on in
+    buckets, so no cell's values meet in one buffer.
     """
     upb, note = F.col("current_upb"), F.col("note_rate")
-    return (
-        eps.where(F.col(geography).isNotNull() & F.col("market_rate").isNotNull())
-        .groupBy(F.col(geography).alias("geography"), "period")
+    rows = eps.where(F.col(geography).isNotNull() & F.col("market_rate").isNotNull()).withColumn(
+        "geography", F.col(geography)
+    )
+    cell = ["geography", "period"]
+    wanted = {
+        "payment_gap": {"median_payment_gap": 0.5},
+        "est_current_ltv": {"median_est_current_ltv": 0.5},
+        "note_rate": {f"note_rate_p{int(q * 100)}": q for q in DECILES},
+    }
+    probs = {f"q{int(q * 100)}": q for q in sorted({q for w in wanted.values() for q in w.values()})}
+    stream = rows.select(
+        *cell,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                    for m in wanted
+                ]
+            )
+        ),
+    )
+    found = quantiles(stream, [*cell, "measure"], "value", probs)
+    marks = found.groupBy(*cell).agg(
+        *[
+            F.max(F.when(F.col("measure") == m, F.col(f"q{int(q * 100)}"))).alias(name)
+            for m, names in wanted.items()
+            for name, q in names.items()
+        ]
+    )
+    sums = (
+        rows.groupBy(*cell)
         .agg(
             F.count(F.lit(1)).alias("n_active_loans"),
             F.sum(upb).alias("total_upb"),
@@ -359,20 +389,18 @@ def active_stock(
             *locked_shares(F.col("rate_gap"), upb, thresholds),
             F.avg("lockin_gap").alias("mean_lockin_gap"),
             F.avg("rate_gap").alias("mean_rate_gap"),
-            F.percentile("payment_gap", 0.5).alias("median_payment_gap"),
             F.avg("payment_gap").alias("mean_payment_gap"),
             share(F.col("refi_incentive") > refi_cut_bp / 100.0).alias("refi_incentive_share"),
             F.avg("exit_prepayment").alias("prepayment_rate_monthly"),
             F.avg("exit_credit_event").alias("credit_event_rate_monthly"),
             F.sum("exit_prepayment").alias("n_prepayments"),
             F.sum("exit_credit_event").alias("n_credit_events"),
-            F.percentile("est_current_ltv", 0.5).alias("median_est_current_ltv"),
             F.avg("credit_score").alias("mean_credit_score"),
             F.avg("orig_cohort_year").alias("mean_orig_cohort_year"),
             share(F.col("loan_purpose") == "P").alias("share_purchase_loans"),
-            *[F.percentile(note, q).alias(f"note_rate_p{int(q * 100)}") for q in DECILES],
         )
     )
+    return join_null_safe(sums, marks, cell)
 
 
 def cohort_mix(eps: DataFrame, geography: str = "property_state") -> DataFrame:

@@ -7,7 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.core import join_null_safe, month_index, ordered, ratio, sum_where, total
+from quaymetrics.core import (
+    join_null_safe,
+    month_index,
+    ordered,
+    quantiles,
+    ratio,
+    sum_where,
+    total,
+)
 from quaymetrics.functions.columns import safe_log, stage_trade, value_measures
 from quaymetrics.operators.policy import attach_treatment
 from quaymetrics.session import stored
@@ -376,17 +384,20 @@ def split_by_dependence(
         .where(F.col("dependence").isNotNull())
         .join(by_product, product)
     )
-    cut = total(dep, F.percentile("dependence", 0.5))
+    cut = quantiles(dep, [], "dependence", {"cut": 0.5}).scalar()
     group = F.when(F.col("dependence") > cut, "high_dependence").otherwise("low_dependence")
     labelled = dep.withColumn("dependence_group", group)
-    return labelled.groupBy("dependence_group").agg(
+    medians = quantiles(
+        labelled, ["dependence_group"], "replacement_ratio", {"median_replacement_ratio": 0.5}
+    )
+    sums = labelled.groupBy("dependence_group").agg(
         F.count(F.lit(1)).alias("n_products"),
         F.sum("treated_total").alias("treated_change"),
         F.sum("alternative_total").alias("alternative_change"),
         F.sum("pre_treated_value").alias("pre_treated_value"),
-        F.percentile("replacement_ratio", 0.5).alias("median_replacement_ratio"),
         ratio(F.sum("treated_total"), F.sum("pre_treated_value")).alias("treated_pct_change"),
     )
+    return join_null_safe(sums, medians, ["dependence_group"])
 
 
 # --- industry exposure ------------------------------------------------------------
@@ -490,15 +501,16 @@ def shortfall_bound(panel: DataFrame, tolerance: float = 0.03) -> DataFrame:
         & (v > 0)
     )
     below = F.sum(F.when(short, v).otherwise(0.0))
-    return rows.groupBy(M).agg(
+    medians = quantiles(rows, [M], gap, {"median_gap": 0.5})
+    sums = rows.groupBy(M).agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.count_if(short).alias("n_short"),
         F.sum(v).alias("customs_value"),
         below.alias("customs_value_short"),
-        F.percentile(gap, 0.5).alias("median_gap"),
         ratio(F.count_if(short), F.count(F.lit(1))).alias("share_obs_short"),
         ratio(below, F.sum(v)).alias("share_value_short"),
     )
+    return join_null_safe(sums, medians, [M])
 
 
 # --- sourcing counterfactual ------------------------------------------------------

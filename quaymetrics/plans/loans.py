@@ -358,6 +358,15 @@ where market_rate is not null and rate_gap is not null and period < date '1999-0
 )
 
 
+cte(
+    "discrete_all",
+    """
+select *, case when loan_age < 12 then 'age_0_12' when loan_age < 24 then 'age_12_24' when loan_age < 48 then 'age_24_48' else 'age_48_120' end as age_bin
+from episodes where market_rate is not null and rate_gap is not null and period < date '1999-01-01'
+""",
+)
+
+
 @query(
     "L02_discrete_time",
     "select loan_seq_no, period, age_bin, log_orig_upb, calendar_year, period_index, sampling_weight, exit_any, rate_gap from discrete",
@@ -477,15 +486,15 @@ def _(v):
     "L06_hazard_profile",
     """
 select 'age_bin' as profile, age_bin as bin, count(*) as n_at_risk, cast(sum(exit_prepayment) as bigint) as n_events, avg(exit_prepayment) as hazard,
-       avg(loan_age) as mean_age, avg(rate_gap) as mean_rate_gap from discrete group by age_bin
+       avg(loan_age) as mean_age, avg(rate_gap) as mean_rate_gap from discrete_all group by age_bin
 union all
 select 'gap_bucket', cast(gap_bucket as varchar), count(*), cast(sum(exit_prepayment) as bigint), avg(exit_prepayment), avg(loan_age), avg(rate_gap)
-from discrete group by gap_bucket
+from discrete_all group by gap_bucket
 """,
     "hazard mean_age mean_rate_gap",
 )
 def _(v):
-    data = SV.discrete_time(LN.episodes_view(v), "1999-01-01", fraction=0.25, salt="risk")
+    data = SV.discrete_time(LN.episodes_view(v), "1999-01-01", fraction=1.0, salt="risk")
     return SV.hazard_profile(data, ["age_bin", "gap_bucket"], "exit_prepayment")
 
 

@@ -157,12 +157,21 @@ class Views:
             text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 {{{t}}} as {t}", text)
         return self.spark.sql(text, **used)
 
+    def state(self) -> tuple:
+        """Names, sizes and times of the given tables: new data makes new layers."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        found = where.getFileSystem(conf).listStatus(where)
+        return tuple(
+            sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found)
+        )
+
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived layer written once to the shared folder and read back from there.
 
         Layers live as long as the session that wrote them; executors may come and go.
         """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self.state())
         if key not in _STORED:
             path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
             build().write.parquet(path)
