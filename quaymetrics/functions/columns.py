@@ -162,16 +162,14 @@ def transform(current: Column, previous: Column, kind: str) -> Column:
 
 # --- trade values -----------------------------------------------------------------
 
+# fixed values: column names of the public trade files and of the staged schema
 TRADE_NAMES = {
     "con_val_mo": "customs_value",
-    "gen_val_mo": "general_imports_value",
     "dut_val_mo": "dutiable_value",
     "cal_dut_mo": "calculated_duties",
     "con_cha_mo": "import_charges",
     "con_qy1_mo": "quantity",
     "unit_qy1": "quantity_unit",
-    "con_qy2_mo": "quantity_2",
-    "unit_qy2": "quantity_2_unit",
 }
 
 
