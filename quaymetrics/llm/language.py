@@ -34,9 +34,9 @@ LONGEST_WORD = 32
 SAMPLE = 1000
 ROUNDS = 4
 SMOOTHING = 0.05
-#: Bytes of text that a task looks at together, and distinct words whose scores it remembers.
-CHUNK_BYTES = 2 << 20
+#: Distinct words whose scores a task remembers, and words fitted together.
 REMEMBERED = 200_000
+FITTED = 20_000
 RESULT = "doc_id long, lang_pred string, score double"
 
 
@@ -225,7 +225,7 @@ def score_texts(
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Chunks of the batches with the language and score of each row."""
     scores = WordScores(pieces, table)
-    for chunk in tx.merged(batches, limit=CHUNK_BYTES):
+    for chunk in tx.merged(batches):
         texts = tx.as_strings(chunk.column("text"))
         letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
         n = chunk.num_rows
@@ -266,7 +266,7 @@ def known_rows(
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each chunk, the word with its leading space."""
-    for chunk in tx.merged(batches, limit=CHUNK_BYTES):
+    for chunk in tx.merged(batches):
         langs = chunk.column("lang").dictionary_encode()
         words, begins = word_parts(chunk.column("text"))
         if not len(words):
@@ -293,13 +293,17 @@ def fit_language(words: pd.DataFrame, pieces: Pieces, rounds: int) -> pd.DataFra
     """Piece probabilities of one language by expectation maximisation over its counted words."""
     words = words.sort_values("word")
     own = [bytes(w) for w in words["word"]]
-    raw = np.frombuffer(b"".join(own), np.uint8)
-    lattice = Lattice(raw, np.array([len(w) for w in own], np.int64), pieces)
     weight = words["n"].to_numpy(float)
     probability = np.full(pieces.n, 1.0 / pieces.n)
     for _ in range(rounds):
-        use = lattice.expected(probability, weight) + SMOOTHING
+        use = np.full(pieces.n, SMOOTHING)
+        for a in range(0, len(own), FITTED):  # cuts are made anew: all of them would fill a task
+            part = own[a : a + FITTED]
+            raw = np.frombuffer(b"".join(part), np.uint8)
+            lattice = Lattice(raw, np.array([len(w) for w in part], np.int64), pieces)
+            use += lattice.expected(probability, weight[a : a + FITTED])
         probability = use / use.sum()
+    tx.give_back()
     return pd.DataFrame(
         {"lang": words["lang"].iloc[0], "piece": np.arange(pieces.n), "probability": probability}
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -10,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 8 << 20
+#: Text that a task looks at together; its working arrays take some twenty times as much.
+CHUNK_BYTES = 2 << 20
 
 
 def text_bytes(column: pa.Array) -> np.ndarray:
@@ -47,6 +49,16 @@ def merged(
         size += n
     if held:
         yield pa.concat_batches(held)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers are reused and would keep their largest task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def as_strings(column: pa.Array) -> pa.Array:
