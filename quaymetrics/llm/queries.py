@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymetrics.llm import chat, imatch, language, leaks, mixing, near_dup, pu_quality, secrets, substring_dedup, suffix_dedup
+from quaymetrics.llm import (
+    chat,
+    imatch,
+    language,
+    leaks,
+    mixing,
+    near_dup,
+    pu_quality,
+    secrets,
+    substring_dedup,
+    suffix_dedup,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,12 +137,6 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def sha256_each(texts: pa.Array) -> pa.Array:
-    return pa.array(
-        [hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], pa.string()
-    )
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift and multiply rounds)."""
     x = x.astype(np.uint64, copy=True)
