@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by suffix arrays.
 
-Each shard of candidate stretches (see repeats.py) has a suffix array made by Larsson-Sadakane
+Each shard of candidate stretches (see repeats.py) has a whole suffix array made by Larsson-Sadakane
 refinement and Kasai's common prefixes; neighbours that share `length` bytes start a string that
 occurs again. Anchors that need several shards are merged by binary search in their sorted runs.
 
@@ -30,11 +30,11 @@ RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start: long
 
 
 def packed_symbols(raw: np.ndarray) -> np.ndarray:
-    """Each byte and the next six as one number that sorts like them."""
-    padded = np.concatenate([raw, np.zeros(PACKED, np.uint8)]).astype(np.int64)
+    """Each byte and the next six as one number that sorts like them, the end before all bytes."""
+    padded = np.concatenate([raw.astype(np.int64) + 1, np.zeros(PACKED, np.int64)])
     out = np.zeros(len(raw), np.int64)
     for k in range(PACKED):
-        out = (out << 8) | padded[k : k + len(raw)]
+        out = out * 257 + padded[k : k + len(raw)]
     return out
 
 
@@ -42,7 +42,8 @@ def repeated_windows(shard: repeats.Shard, rule: repeats.Rule) -> np.ndarray:
     """Which windows of the shard occur at least twice in it."""
     raw = shard.units.raw
     start, _ = shard.window_starts(rule.length)
-    order, _ = refine(packed_symbols(raw), rule.length, step=PACKED)
+    # Kasai's floors hold for a whole order only
+    order, _ = refine(packed_symbols(raw), len(raw), step=PACKED)
     prefix = common_prefixes(raw, order, rule.length)
     group = np.cumsum(prefix < rule.length) - 1
     valid = np.zeros(len(raw), bool)

@@ -87,6 +87,30 @@ def test_word_passages(spark, shard_bytes):
     assert sorted(got, key=order) == brute_words(word_rows(), 8)
 
 
+def long_rows():
+    """Copies of 448 bytes or more, the later one going on with the smaller byte; and for each a
+    text that is sorted next to the copy and has its 400th byte, but is nowhere repeated."""
+    r = random.Random(3)
+
+    def some(n):
+        return "".join(chr(r.randrange(97, 123)) for _ in range(n))
+
+    rows = []
+    for _ in range(12):
+        tail = some(448)
+        near = tail[1:201] + "!" + tail[202:440]
+        copied = some(r.choice([0, 1, 60])) + tail
+        rows += [some(20) + copied + "z" + some(9), some(20) + copied + "a" + some(9), some(9) + near]
+    return list(enumerate([*rows, "\0" * 900, "\0" * 401 + "x"]))
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 4000])
+def test_byte_strings_that_agree_on_more_than_their_length(spark, shard_bytes):
+    cut = suffix_dedup.remove_repeats(frame(spark, long_rows()), 400, shard_bytes)
+    got = [tuple(r) for r in suffix_dedup.repeat_report(cut).collect()]
+    assert sorted(got, key=order) == brute_bytes(long_rows(), 400)
+
+
 def test_no_rows(spark):
     none = frame(spark, [(1, "a")]).limit(0)
     assert suffix_dedup.remove_repeats(none).count() == 0
