@@ -3,7 +3,9 @@
 A shard is a run of documents of one task. Its words are mapped to the alphabet of the test
 phrases; every other word parts the text, and stretches too short for a phrase hold none and are
 left out. The phrases are searched backwards through wavelet ranks, their occurrences located by
-sampled suffix positions, and the spans they cover merged. Documents are not shuffled.
+sampled suffix positions, and the spans they cover merged. Phrases of one block do not shuffle the
+documents. With several blocks the documents are written once with a key of each row, and the driver
+holds one block at a time.
 
 Null and empty texts have no words and no hits. Repeated rows are treated one by one. Items with
 a null id count for spans but are not listed; items without words are ignored. No documents or no
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quaymetrics.llm import text as tx
 from quaymetrics.llm.fm_index import FmIndex
+from quaymetrics.session import forget, stored
 
 WINDOW = 10
 #: Test phrases go to the tasks in blocks of items of at most about this many characters.
@@ -117,6 +120,7 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
 def search_shards(
     batches: Iterator[pa.RecordBatch], phrases: Phrases
 ) -> Iterator[pa.RecordBatch]:
+    """The columns besides the text, and what was found in it."""
     for shard in tx.merged(batches):
         words = tx.Words(shard.column("text"), tx.NOT_WORD, lower=True)
         at, length, phrase = shard_hits(words, phrases)
@@ -133,50 +137,67 @@ def search_shards(
             spans.append(merge_spans(at[a:b] - base, at[a:b] + length[a:b] - base))
             names = {n for p in np.unique(phrase[a:b]) for n in phrases.names[p]}
             items.append(sorted(names))
+        own = [n for n in shard.schema.names if n != "text"]
         yield pa.record_batch(
             [
-                shard.column("doc_id"),
+                *[shard.column(n) for n in own],
                 pa.array(np.diff(words.bounds), pa.int64()),
                 pa.array(spans, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
                 pa.array(items, pa.list_(pa.string())),
             ],
-            names=["doc_id", "n_words", "spans", "items"],
+            names=[*own, "n_words", "spans", "items"],
         )
 
 
-def blocks_of(items: DataFrame, window: int, block_chars: int) -> Iterator[Phrases]:
-    """The phrases of all items, in blocks whose size is measured first."""
-    tx.require_columns(items, "item_id", "text")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
-        F.col("text").isNotNull()
-    )
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_chars))
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+class Blocks:
+    """The items in blocks whose size is measured first; the phrases of one are made at a time."""
+
+    def __init__(self, items: DataFrame, window: int, block_chars: int):
+        tx.require_columns(items, "item_id", "text")
+        self.window = window
+        self.items = (
+            items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+            .where(F.col("text").isNotNull())
+            .distinct()  # copies of an item would all be in one block
+        )
+        size = self.items.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.n = max(1, -(-size // block_chars))
+
+    def phrases(self, k: int) -> Phrases:
+        block = self.items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k)
         rows = block.collect()
-        yield Phrases([r.item_id for r in rows], [r.text for r in rows], window)
+        return Phrases([r.item_id for r in rows], [r.text for r in rows], self.window)
+
+
+def search(docs: DataFrame, phrases: Phrases, schema: str = RESULT) -> DataFrame:
+    return docs.mapInArrow(lambda b: search_shards(b, phrases), schema)
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """Per document: its words, the merged word spans that phrases cover, and the items found.
+    """Per row of documents: its words, the merged word spans that phrases cover, and the items found.
 
     `docs` has doc_id and text, `items` item_id and text. The items reach the tasks in blocks of
     bounded size; with several blocks the documents are read once for each.
     """
     tx.require_columns(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [
-        docs.mapInArrow(lambda b, p=phrases: search_shards(b, p), RESULT)
-        for phrases in blocks_of(items, window, block_chars)
-    ]
-    return found[0] if len(found) == 1 else merge_blocks(found)
+    blocks = Blocks(items, window, block_chars)
+    if blocks.n == 1:
+        return search(docs, blocks.phrases(0))
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "leak_rows")
+    rows = rows.select("row", "doc_id", "text")
+    found = []
+    for k in range(blocks.n):
+        part = search(rows, blocks.phrases(k), "row long, " + RESULT)
+        # the first block gives every row, the others those with hits
+        found.append(stored(part if k == 0 else part.where(F.size("spans") > 0), "leak_block"))
+    return merge_blocks(found)
 
 
 def merge_blocks(found: list[DataFrame]) -> DataFrame:
-    """Results of several blocks of items over the same documents as one row per document."""
+    """Results of several blocks of items over the same documents, by `row`, as one per row."""
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
@@ -198,10 +219,15 @@ def merge_blocks(found: list[DataFrame]) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return whole.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        joined.alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    return (
+        whole.groupBy("row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_words").alias("n_words"),
+            joined.alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+        .drop("row")
     )
 
 
@@ -239,6 +265,12 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows in whose text no phrase occurs, with all columns as they were."""
     tx.require_columns(docs, "text")
-    for phrases in blocks_of(items, window, block_chars):
-        docs = docs.mapInArrow(lambda b, p=phrases: clean_rows(b, p), docs.schema)
+    blocks = Blocks(items, window, block_chars)
+    for k in range(blocks.n):
+        clean = docs.mapInArrow(lambda b, p=blocks.phrases(k): clean_rows(b, p), docs.schema)
+        if blocks.n == 1:
+            return clean
+        before, docs = docs, stored(clean, "clean_rows")
+        if k:  # the first is the caller's
+            forget(before)
     return docs

@@ -3,6 +3,7 @@
 import re
 
 from quaymetrics.llm import leaks
+from quaymetrics.session import stored
 
 ITEMS = [
     (1, "the quick brown fox jumps over the lazy dog again and again"),
@@ -67,6 +68,28 @@ def test_blocks_of_items_give_the_same(spark):
     assert found(once, items, block_chars=30) == want
 
 
+def test_blocks_of_items_treat_each_row_by_itself(spark):
+    docs, items = tables(spark)
+    assert found(docs, items, block_chars=30) == brute(10)
+    other = spark.createDataFrame([(None, "short one", "k"), (4, DOCS[0][1], "k")], docs.schema)
+    more = docs.unionByName(docs).unionByName(other)
+    assert found(more, items, block_chars=30) == found(more, items)
+
+
+def test_no_block_of_items_stays_in_the_plan(spark):
+    docs, items = tables(spark)
+    for df in (leaks.find_leaks, leaks.drop_leaks):
+        plan = df(docs, items, block_chars=30)._jdf.queryExecution().toString()
+        assert "MapInArrow" not in plan
+
+
+def test_blocks_of_items_leave_a_stored_table(spark):
+    docs, items = tables(spark)
+    docs = stored(docs, "given")
+    leaks.drop_leaks(docs, items, block_chars=30)
+    assert docs.count() == len(DOCS)
+
+
 def test_drop_keeps_clean_rows_whole(spark):
     docs, items = tables(spark)
     for options in ({}, {"block_chars": 30}):
