@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, in SQL functions alone.
 
-Terms are lower-cased words. The lexicon holds the terms whose document frequency lies in a band,
-one for each of `SLOTS` hash slots, so its size is bounded whatever the corpus. It is split by hash
-into subsets of falling rates, eight of each rate: of any text, short or long, some subsets keep a
+Terms are lower-cased words. The lexicon holds every term whose document frequency lies in a band,
+in `SLOTS` hash slots. A term stands in at least `RAREST` of the documents, so there are at most
+1 / `RAREST` times as many terms as a document has on average, however many documents there are.
+The lexicon is split by hash into subsets of falling rates, eight of each rate: of any text, short or long, some subsets keep a
 few terms. A fingerprint is, for each subset, the hash of the text's sorted distinct terms in it;
 the likeness of two texts is the share of equal hashes among the subsets that either text meets.
 
@@ -37,7 +38,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """One row: the lexicon's term hash of every slot, 0 for none."""
+    """One row: the lexicon's term hashes of every slot."""
     n = docs.agg(F.count("*").alias("n")).first()["n"]
     counted = (
         docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
@@ -46,15 +47,16 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
         .where((F.col("df") >= max(2, rarest * n)) & (F.col("df") <= max(2, commonest * n)))
     )
     slots = counted.groupBy(F.pmod("term", F.lit(SLOTS)).alias("slot")).agg(
-        F.min("term").alias("term")
+        F.array_sort(F.collect_list("term")).alias("terms")
     )
     every = docs.sparkSession.range(SLOTS).join(slots, F.col("id") == F.col("slot"), "left")
-    pairs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("term", F.lit(0)).alias("term"))))
-    return every.agg(F.transform(pairs, lambda p: p["term"]).alias("slots"), F.lit(1).alias("one"))
+    none = F.array().cast("array<bigint>")
+    pairs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("terms", none).alias("terms"))))
+    return every.agg(F.transform(pairs, lambda p: p["terms"]).alias("slots"), F.lit(1).alias("one"))
 
 
 def sign(df: DataFrame, words: DataFrame, text: str, signs: str, name: str) -> DataFrame:
-    """Adds a text's signatures and fingerprint. The lexicon's one row, bounded by SLOTS, goes to
+    """Adds a text's signatures and fingerprint. The lexicon's one row goes to
     every task and is dropped again before anything moves."""
     with_words = df.withColumn("one", F.lit(1)).join(F.broadcast(words), "one")
     signed = with_words.withColumn(signs, signatures(F.col(text), F.col("slots"))).drop("one", "slots")
@@ -63,7 +65,10 @@ def sign(df: DataFrame, words: DataFrame, text: str, signs: str, name: str) -> D
 
 def signatures(text: Column, slots: Column) -> Column:
     """A hash of the sorted lexicon terms of each subset, null where there is none."""
-    kept = F.filter(terms(text), lambda h: F.get(slots, F.pmod(h, F.lit(SLOTS)).cast("int")) == h)
+    kept = F.filter(
+        terms(text),
+        lambda h: F.array_contains(F.get(slots, F.pmod(h, F.lit(SLOTS)).cast("int")), h),
+    )
 
     def draw(h: Column) -> Column:
         return F.shiftrightunsigned(h, 17).bitwiseAND(255)

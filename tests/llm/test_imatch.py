@@ -44,6 +44,14 @@ def test_edges(spark, monkeypatch, width):
     assert imatch.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_lexicon_keeps_every_term_of_the_band(spark):
+    rows = [(2 * k + j, f"red{k} fox{k}") for k in range(990) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any(r.fingerprint.startswith("whole:") for r in imatch.fingerprints(docs).collect())
+    slots = imatch.lexicon(docs).first()["slots"]
+    assert sum(len(x) for x in slots) == 1980
+
+
 def test_plan_has_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = imatch.fingerprints(docs)._jdf.queryExecution().toString()
