@@ -14,9 +14,11 @@ from quaymetrics.llm import (
     mixing,
     near_dup,
     pu_quality,
+    runs,
     secrets,
     substring_dedup,
     suffix_dedup,
+    whitening,
 )
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +202,17 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = runs.with_planted(table(spark, sf_dir, "documents"))
+    return runs.run_report(runs.find_runs(planted))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
