@@ -18,6 +18,7 @@ from quaymetrics.llm import (
     secrets,
     substring_dedup,
     suffix_dedup,
+    url_templates,
     whitening,
 )
 
@@ -213,6 +214,11 @@ def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query("op13_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.filter_urls(table(spark, sf_dir, "pages"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
