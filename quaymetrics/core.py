@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from quaymetrics.session import stored
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -239,6 +241,126 @@ def asof_backward(
     return joined.select(*left.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+#: Children of a block in the search for older places.
+FAN = 16
+
+
+def newest_before(
+    points: DataFrame, cells: DataFrame, by: Sequence[str], n: int = 1
+) -> DataFrame:
+    """The newest places that had started: for each distinct point (by, upto, before), `found` is
+    the falling array of the n greatest places up to `upto` whose start lies before `before`.
+
+    `cells` has one row per (by, place), places counting 1, 2, ... in each `by`, with its `start`.
+    Starts that rise with the place need n rows per point. Where they do not, the rest of the
+    search goes down blocks of FAN^k places with their least starts, a bounded number of rows
+    per point and level.
+    """
+    by = list(by)
+    point = [*by, "upto", "before"]
+    asked = points.select(*point).where(F.col("upto") >= 1).distinct()
+    # no place after `top` had started, for all later ones start later
+    onward = cells.withColumn("_t", F.min("start").over(rows_to_here(by, F.desc("place"))))
+    marks = onward.groupBy(*by, "_t").agg(F.max("place").alias("top"))
+    tick = F.expr("interval 0.000001 seconds")
+    placed = asof_backward(
+        asked.withColumn("_at", F.col("before") - tick), marks, "_at", "_t", ["top"], by
+    ).withColumn("top", F.least("top", "upto"))
+    place = F.explode(F.sequence(F.greatest(F.col("top") - (n - 1), F.lit(1)), "top"))
+    near = (
+        placed.where(F.col("top").isNotNull())
+        .select(*point, place.alias("place"))
+        .join(cells, [*by, "place"])
+        .where(F.col("start") < F.col("before"))
+        .groupBy(*point)
+        .agg(F.sort_array(F.collect_list("place"), False).alias("found"))
+    )
+    none = F.array().cast("array<int>")
+    out = placed.join(near, point, "left").select(
+        *point,
+        F.coalesce(F.col("found").cast("array<int>"), none).alias("found"),
+        F.coalesce(F.col("top") - n, F.lit(0)).cast("int").alias("left"),
+    )
+    out = stored(out, "newest")
+    open_ = (F.size("found") < n) & (F.col("left") >= 1)
+    for _ in range(n):
+        if out.where(open_).isEmpty():
+            break
+        older = _one_older(out.where(open_), cells, by)
+        joined = out.join(older, point, "left")
+        grown = F.when(F.col("older").isNotNull(), F.concat("found", F.array("older")))
+        out = stored(
+            joined.select(
+                *point,
+                F.coalesce(grown, F.col("found")).alias("found"),
+                F.when(open_, F.coalesce(F.col("older") - 1, F.lit(0)))
+                .otherwise(F.col("left"))
+                .cast("int")
+                .alias("left"),
+            ),
+            "newest",
+        )
+    return out.select(*point, "found")
+
+
+def _one_older(points: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(point, older): the greatest place up to `left` whose start lies before `before`."""
+    point = [*by, "upto", "before"]
+    most = cells.agg(F.max("place")).first()[0] or 1
+    levels = 1
+    while FAN**levels <= most:
+        levels += 1
+    low = [cells.select(*by, F.col("place").alias("block"), F.col("start").alias("low"))]
+    families = []
+    for _ in range(levels):
+        parts = low[-1].withColumns(
+            {"child": (F.col("block") % FAN).cast("int"), "block": F.expr(f"cast(block div {FAN} as int)")}
+        )
+        families.append(
+            parts.groupBy(*by, "block").agg(F.collect_list(F.struct("child", "low")).alias("children"))
+        )
+        low.append(parts.groupBy(*by, "block").agg(F.min("low").alias("low")))
+    blocks = reduce(
+        lambda a, b: a.unionByName(b),
+        [t.withColumn("level", F.lit(k)) for k, t in enumerate(low)],
+    )
+    # places 0 .. left are the blocks before each digit of left + 1
+    end = F.col("left") + 1
+
+    def before_digit(k: int) -> Column:
+        first = (F.floor(end / FAN ** (k + 1)) * FAN).cast("int")
+        digit = F.expr(f"cast((left + 1) div {FAN**k} % {FAN} as int)")
+        blocks = F.when(digit > 0, F.sequence(first, first + digit - 1))
+        return F.transform(
+            F.coalesce(blocks, F.array().cast("array<int>")),
+            lambda b: F.struct(F.lit(k).alias("level"), b.alias("block")),
+        )
+
+    prefix = F.flatten(F.array(*[before_digit(k) for k in range(levels + 1)]))
+    piece = F.explode(prefix).alias("b")
+    block_end = (F.col("block") + 1) * F.pow(F.lit(float(FAN)), F.col("level"))
+    at = (
+        points.select(*point, piece)
+        .select(*point, F.col("b.level").alias("level"), F.col("b.block").alias("block"))
+        .join(blocks, [*by, "level", "block"])
+        .where(F.col("low") < F.col("before"))
+        .groupBy(*point)
+        .agg(F.max_by(F.struct("level", "block"), block_end).alias("b"))
+        .select(*point, "b.*")
+    )
+    for k in range(levels, 0, -1):
+        family = families[k - 1].withColumn("level", F.lit(k))
+        fits = F.filter("children", lambda c: c["low"] < F.col("before"))
+        child = F.array_max(F.transform(fits, lambda c: c["child"]))
+        down = F.col("level") == k
+        at = at.join(family, [*by, "level", "block"], "left").select(
+            *point,
+            F.when(down, k - 1).otherwise(F.col("level")).alias("level"),
+            F.when(down, F.col("block") * FAN + child).otherwise(F.col("block")).alias("block"),
+        )
+    return at.select(*point, F.col("block").cast("int").alias("older"))
+
+
 # --- small column helpers ---------------------------------------------------------
 
 

@@ -7,7 +7,6 @@ bounded by the calendar.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,11 +20,12 @@ from quaymetrics.core import (
     join_null_safe,
     ordered,
     ratio,
+    require_none,
     rows_before,
+    rows_to_here,
 )
-from quaymetrics.functions.columns import transform
-from quaymetrics.operators import vintage as VT
 from quaymetrics.operators.estimators import t_two_sided
+from quaymetrics.session import stored
 
 # --- expanding folds --------------------------------------------------------------
 
@@ -329,12 +329,50 @@ def metrics(preds: DataFrame, by: Sequence[str], reference: str | None = None) -
     return ok.groupBy(*by).agg(*exprs)
 
 
-def _array_quantile(values: Column, q: float) -> Column:
-    """Interpolated quantile of a sorted array."""
-    at = F.lit(q) * (F.size(values) - 1)
-    low = F.element_at(values, (F.floor(at) + 1).cast("int"))
-    high = F.element_at(values, (F.ceil(at) + 1).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+#: Parts a range of values is cut into at each level of the search for an order statistic.
+PARTS = 8
+
+
+def _prefix_order_statistics(
+    values: DataFrame, asks: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """For each ask, the value with rank `_k` (from 1) among the first `_m` values of its path.
+
+    `values` has (keys, _s, _v, _r): place in time, place in size from 0, and the value; `asks` has
+    (keys, _i, _which, _m, _k). The range of sizes is cut into PARTS at each level; running counts in
+    time order tell which part holds the rank. Every value and ask is one row at every level.
+    """
+    most = values.agg(F.max("_v")).first()[0] or 0
+    levels = 1
+    while PARTS**levels <= most:
+        levels += 1
+    node = asks.withColumn("_node", F.lit(0).cast("bigint"))
+    for level in range(levels - 1, -1, -1):
+        here = values.select(
+            *keys,
+            F.expr(f"_v div {PARTS ** (level + 1)}").alias("_node"),
+            F.expr(f"cast(_v div {PARTS**level} % {PARTS} as int)").alias("_part"),
+            F.col("_s").alias("_m"),
+        )
+        both = node.unionByName(here, allowMissingColumns=True)
+        w = rows_to_here([*keys, "_node"], "_m", F.col("_part").isNull())
+        # running counts of the parts up to each; the last one is the node's own count
+        counts = F.array(*[F.count(F.when(F.col("_part") <= c, 1)).over(w) for c in range(PARTS)])
+        placed = both.withColumn("_counts", counts).where(F.col("_part").isNull())
+        before = F.size(F.filter("_counts", lambda c: c < F.col("_k")))
+        placed = placed.withColumn("_before", before)
+        below = F.when(F.col("_before") > 0, F.element_at("_counts", F.col("_before"))).otherwise(0)
+        node = placed.select(
+            *keys,
+            "_i",
+            "_which",
+            "_m",
+            (F.col("_k") - below).alias("_k"),
+            (F.col("_node") * PARTS + F.col("_before")).alias("_node"),
+        )
+    return join_null_safe(
+        node.withColumnRenamed("_node", "_v"), values.select(*keys, "_v", "_r"), [*keys, "_v"], "inner"
+    ).select(*keys, "_i", "_which", "_r")
 
 
 def residual_intervals(
@@ -346,25 +384,91 @@ def residual_intervals(
 ) -> DataFrame:
     """Bands from earlier residuals whose targets were released by the forecast's origin.
 
-    A path's history (one residual per period) is carried along the window as an array and
-    filtered in place; too short a history gives no band.
+    Origins must not fall along a path; then a forecast's history is all residuals up to a place in
+    the order in which they became usable, and a band needs order statistics of such prefixes. No
+    history is gathered. Too short a history gives no band.
     """
+    keys = list(keys)
+    rows = stored(preds.withColumn("_i", F.row_number().over(ordered(keys, period))), "paths")
+    origin = F.col("origin").cast("timestamp_ntz")
+    seen = F.max(origin).over(rows_before(keys, "_i"))
+    require_none(rows.select((origin < seen).alias("_falls")), F.col("_falls"), "origins fall")
     residual = F.col("actual") - F.col("prediction")
-    entry = F.when(residual.isNotNull(), F.struct(residual.alias("r"), F.col("release").alias("t")))
-    past = F.collect_list(entry).over(rows_before(keys, period))
-    history = F.array_sort(
-        F.transform(F.filter(past, lambda e: e["t"] <= F.col("origin")), lambda e: e["r"])
+    following = F.last(origin, ignorenulls=True).over(rows_before(keys, F.desc("_i")))
+    timed = rows.select(
+        *keys,
+        "_i",
+        residual.cast("double").alias("_r"),
+        F.col("release").cast("timestamp_ntz").alias("_release"),
+        origin.alias("_origin"),
+        following.alias("_following"),
+    )
+    known = F.col("_r").isNotNull() & F.col("_release").isNotNull() & F.col("_following").isNotNull()
+    entries = timed.where(known).select(
+        *keys,
+        "_i",
+        "_r",
+        F.greatest("_release", "_following").alias("_time"),
+        (2 * F.col("_i") + 1).alias("_tie"),
+        F.lit(1).alias("_in"),
+    )
+    looks = timed.where(F.col("_origin").isNotNull()).select(
+        *keys,
+        "_i",
+        F.lit(None).cast("double").alias("_r"),
+        F.col("_origin").alias("_time"),
+        (2 * F.col("_i")).alias("_tie"),
+        F.lit(0).alias("_in"),
+    )
+    ordered_ = stored(
+        entries.unionByName(looks).withColumn(
+            "_m", F.sum("_in").over(rows_to_here(keys, "_time", "_tie"))
+        ),
+        "usable",
+    )
+    values = ordered_.where(F.col("_in") == 1).select(
+        *keys,
+        F.col("_m").alias("_s"),
+        (F.row_number().over(ordered(keys, "_r", "_i")) - 1).cast("bigint").alias("_v"),
+        "_r",
     )
+    sizes = ordered_.where(F.col("_in") == 0).select(*keys, "_i", F.col("_m").alias("n_residuals"))
     tail = (1.0 - coverage) / 2.0
-    df = preds.withColumn("_h", history)
-    enough = F.size("_h") >= min_residuals
-    return df.withColumns(
-        {
-            "n_residuals": F.size("_h").cast("bigint"),
-            "lower": F.when(enough, F.col("prediction") + _array_quantile(F.col("_h"), tail)),
-            "upper": F.when(enough, F.col("prediction") + _array_quantile(F.col("_h"), 1.0 - tail)),
-        }
-    ).drop("_h")
+    n = F.col("n_residuals")
+    at = {"lower": tail * (n - 1), "upper": (1.0 - tail) * (n - 1)}
+    ranks = [
+        F.struct(F.lit(f"{name}_{edge.__name__}").alias("_which"), (edge(x) + 1).cast("bigint").alias("_k"))
+        for name, x in at.items()
+        for edge in (F.floor, F.ceil)
+    ]
+    asks = (
+        sizes.where(F.col("n_residuals") >= min_residuals)
+        .select(*keys, "_i", "n_residuals", F.explode(F.array(*ranks)).alias("_a"))
+        .select(*keys, "_i", n.alias("_m"), "_a._which", "_a._k")
+    )
+    found = _prefix_order_statistics(stored(values, "values"), asks, keys)
+    wide = found.groupBy(*keys, "_i").agg(
+        *[
+            F.max(F.when(F.col("_which") == f"{name}_{edge}", F.col("_r"))).alias(f"_{name}_{edge}")
+            for name in at
+            for edge in ("floor", "ceil")
+        ]
+    )
+    out = join_null_safe(rows, sizes, [*keys, "_i"])
+    out = join_null_safe(out, wide, [*keys, "_i"])
+    m = F.coalesce("n_residuals", F.lit(0)).cast("bigint")
+
+    def edge_of(name: str, q: float) -> Column:
+        x = q * (m - 1)
+        low, high = F.col(f"_{name}_floor"), F.col(f"_{name}_ceil")
+        return F.col("prediction") + low + (high - low) * (x - F.floor(x))
+
+    return out.select(
+        *preds.columns,
+        m.alias("n_residuals"),
+        edge_of("lower", tail).alias("lower"),
+        edge_of("upper", 1.0 - tail).alias("upper"),
+    )
 
 
 @F.pandas_udf(T.DoubleType())
@@ -462,124 +566,3 @@ def stability(
         }
     )
     return ranked.withColumn("rank_change", F.col("rank_second") - F.col("rank_first"))
-
-
-# --- last update before a target --------------------------------------------------
-
-
-def last_update(
-    vintages: DataFrame, targets: DataFrame, specs: Sequence[VT.FeatureSpec]
-) -> DataFrame:
-    """Latest release before each target's own that changed each monthly feature.
-
-    A feature can only change when its current or previous cell is revised, or when a newer
-    cell takes over. Cell paths are computed once; a target then looks up the tenure of each
-    cell it could use, ended by the next cell in its information set.
-    """
-    versions = VT._one_per_instant(vintages)
-    t = F.col(VT.AVAILABLE)
-    own = versions.select(
-        "series_id", "observation_date", t.alias("t"), F.struct("value").alias("own"),
-    )
-    older = versions.select(
-        "series_id",
-        F.add_months("observation_date", 1).alias("observation_date"),
-        t.alias("t"),
-        F.struct("value").alias("older"),
-    )
-    cell = ["series_id", "observation_date"]
-    moments = own.unionByName(older, allowMissingColumns=True).groupBy(*cell, "t").agg(
-        F.max("own").alias("own"), F.max("older").alias("older")
-    )
-    so_far = ordered(cell, "t").rowsBetween(Window.unboundedPreceding, 0)
-    path = moments.withColumns(
-        {
-            "own": F.last("own", ignorenulls=True).over(so_far),
-            "older": F.last("older", ignorenulls=True).over(so_far),
-        }
-    ).where(F.col("own").isNotNull())
-    named = path.withColumn(
-        "_spec",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(s.name).alias("name"),
-                        F.lit(s.series_id).alias("series"),
-                        F.lit(s.transformation).alias("kind"),
-                    )
-                    for s in specs
-                ]
-            )
-        ),
-    ).where(F.col("_spec.series") == F.col("series_id"))
-    cur, prev = F.col("own.value"), F.col("older.value")
-    kinds = sorted({s.transformation for s in specs})
-    value = reduce(lambda acc, k: acc.when(F.col("_spec.kind") == k, transform(cur, prev, k)), kinds, F)
-    feature = ["feature_name", "observation_date"]
-    states = named.select(
-        F.col("_spec.name").alias("feature_name"), "observation_date", "t", value.alias("f")
-    )
-    step = ordered(feature, "t")
-    states = states.withColumns(
-        {"before": F.lag("f").over(step), "_first": F.row_number().over(step) == 1}
-    ).withColumn("state", F.struct("f"))
-
-    def differs(a: Column, b: Column) -> Column:
-        return (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > 1e-12, F.lit(False))
-
-    inside = states.where(~F.col("_first") & differs(F.col("f"), F.col("before"))).select(
-        *feature, "t", F.struct("t", F.col("before").alias("a"), F.col("f").alias("b")).alias("hit")
-    )
-    entries = states.where("_first").select(
-        *feature, F.col("t").alias("start"), F.col("f").alias("f_start")
-    )
-    wanted = targets.withColumn(
-        "_spec",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(s.name).alias("name"), F.lit(s.lag_periods).alias("lag"))
-                    for s in specs
-                ]
-            )
-        ),
-    ).select(
-        "forecast_id",
-        "release_timestamp",
-        F.col("_spec.name").alias("feature_name"),
-        F.add_months("target_period", -F.col("_spec.lag")).alias("_cutoff"),
-    )
-    usable = wanted.join(entries, "feature_name").where(
-        (F.col("observation_date") <= F.col("_cutoff"))
-        & (F.col("start") < F.col("release_timestamp"))
-    )
-    job = ["forecast_id", "feature_name"]
-    newer = F.min("start").over(rows_before(job, F.desc("observation_date")))
-    tenures = usable.withColumn(
-        "end", F.least(F.coalesce(newer, F.col("release_timestamp")), F.col("release_timestamp"))
-    ).where(F.col("start") < F.col("end"))
-    tenures = tenures.withColumn("_at", F.col("end") - F.expr("interval 0.000001 seconds"))
-    tenures = asof_backward(tenures, inside, "_at", "t", ["hit"], feature)
-    tenures = asof_backward(
-        tenures, states.select(*feature, "t", "state"), "_at", "t", ["state"], feature
-    )
-    came_from = F.lag("state").over(ordered(job, "start")).getField("f")
-    entered = tenures.withColumn("_from", came_from)
-    entry = F.when(
-        differs(F.col("f_start"), F.col("_from")),
-        F.struct(
-            F.col("start").alias("t"), F.col("_from").alias("a"), F.col("f_start").alias("b")
-        ),
-    )
-    found = entered.withColumn("_hit", F.coalesce("hit", entry)).where(F.col("_hit").isNotNull())
-    return (
-        found.groupBy(*job)
-        .agg(F.max_by("_hit", "_hit.t").alias("_hit"))
-        .select(
-            *job,
-            F.col("_hit.t").alias("release_timestamp"),
-            F.col("_hit.a").alias("previous_value"),
-            F.col("_hit.b").alias("updated_value"),
-        )
-    )

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.core import asof_backward, ordered, ratio, require_none
+from quaymetrics.core import asof_backward, newest_before, ordered, ratio, require_none
 from quaymetrics.functions.columns import transform
 from quaymetrics.operators.sets import dedup
 
@@ -263,39 +263,62 @@ def _one_per_instant(vintages: DataFrame) -> DataFrame:
     return latest(known, [*CELL, AVAILABLE], ["realtime_start"])
 
 
+def ranked_cells(cells: DataFrame) -> DataFrame:
+    """Cells with their place among those of their series, one row per period."""
+    return cells.withColumn("place", F.row_number().over(ordered(["series_id"], "observation_date")))
+
+
+def _recent_cells(
+    cells: DataFrame, points: DataFrame, mode: str, limit: str, n: int
+) -> DataFrame:
+    """Each point with its n latest cells up to its limit that were eligible at its as-of time."""
+    ranked = ranked_cells(cells)
+    upto = ranked.withColumnRenamed("place", "upto")
+    moment = F.col("as_of_timestamp") + F.expr("interval 0.000001 seconds")
+    if mode == NAIVE:
+        moment = F.lit("9999-12-31").cast("timestamp_ntz")
+    by = ["series_id"]
+    asked = asof_backward(points, upto, limit, "observation_date", ["upto"], by)
+    asked = asked.withColumn("before", moment)
+    starts = ranked.select(*by, "place", F.col("eligibility_timestamp").alias("start"))
+    found = newest_before(asked, starts, by, n)
+    return (
+        asked.join(found, [*by, "upto", "before"])
+        .withColumn("place", F.explode("found"))
+        .drop("upto", "before", "found")
+        .join(ranked, [*by, "place"])
+        .drop("place")
+    )
+
+
 def snapshots(
     vintages: DataFrame,
     points: DataFrame,
     mode: str = AS_OF,
     period_limit: str | None = None,
-    recent: tuple[Sequence[str], int] | None = None,
+    recent: int | None = None,
 ) -> DataFrame:
     """The snapshot of a series at every cutoff, all cutoffs at once.
 
     `points` holds (series_id, as_of_timestamp, ...) and may hold a latest period wanted.
     The result has one row per point and cell in its information set. The only join that
     multiplies rows is the one that makes these result rows; the vintages are matched to them
-    by an as-of merge within the cell. `recent` = (keys of a point, n) keeps each point's n latest
-    cells, before any vintage is matched.
+    by an as-of merge within the cell. `recent` = n keeps each point's n latest cells up to its
+    period limit; only these are ever built.
     """
     versions = _one_per_instant(vintages)
     cells = versions.groupBy(*CELL).agg(
         F.min(AVAILABLE).alias("eligibility_timestamp"),
         F.max_by(F.struct("value", AVAILABLE), F.struct(AVAILABLE, "realtime_start")).alias("_z"),
     )
-    wanted = cells.join(points, "series_id")
-    if mode != NAIVE:
-        wanted = wanted.where(F.col("eligibility_timestamp") <= F.col("as_of_timestamp"))
-    if period_limit is not None:
-        wanted = wanted.where(F.col("observation_date") <= F.col(period_limit))
-    if recent is not None:
-        keys, n = recent
-        latest = ordered(keys, F.desc("observation_date"))
-        wanted = (
-            wanted.withColumn("_nth", F.row_number().over(latest))
-            .where(F.col("_nth") <= n)
-            .drop("_nth")
-        )
+    if recent is None:
+        wanted = cells.join(points, "series_id")
+        if mode != NAIVE:
+            wanted = wanted.where(F.col("eligibility_timestamp") <= F.col("as_of_timestamp"))
+        if period_limit is not None:
+            wanted = wanted.where(F.col("observation_date") <= F.col(period_limit))
+    else:
+        wanted = _recent_cells(cells, points, mode, period_limit, recent)
     if mode != AS_OF:
         return wanted.withColumns(
             {
@@ -374,7 +397,7 @@ def feature_matrix(
     plan = _spec_rows(origins, specs).withColumn("source_period_cutoff", _period_cutoff())
     # two cells for a change, three months for a quarter, or a window's
     depth = max(3, *[s.window or 1 for s in specs])
-    rows = snapshots(vintages, plan, mode, "source_period_cutoff", (keys, depth))
+    rows = snapshots(vintages, plan, mode, "source_period_cutoff", depth)
     by_recency = ordered(keys, F.desc("observation_date"))
     recent = rows.withColumn("_rank", F.row_number().over(by_recency))
     d, cutoff = F.col("observation_date"), F.col("source_period_cutoff")

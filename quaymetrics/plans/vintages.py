@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quaymetrics.core import ordered
-from quaymetrics.operators import evaluation as EV
+from quaymetrics.operators import updates as UP
 from quaymetrics.operators import vintage as VT
 from quaymetrics.registry import cte, query
 
@@ -490,29 +490,52 @@ def _(v):
     return VT.reconcile(derived, published, VT.CELL, 100000.0)
 
 
+# Every release moment before some target of a period, looked at one tick earlier and at the moment.
+cte(
+    "update_points",
+    """
+select target_period || '@' || t || '@' || side as forecast_id, '' as target_series_id, target_period, 'monthly' as target_frequency, t as release_timestamp,
+       case side when 0 then t - interval 1 microsecond else t end as as_of_timestamp, t, side
+from (select target_period, max(release_timestamp) as r from origins group by 1) o
+  join (select distinct effective_availability as t from known where series_id in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') and (series_id <> '5-LOW' or month(observation_date) in (1, 4, 7, 10))) d on d.t < o.r, (values (0), (1)) s(side)
+""",
+)
+cte("features_around", feature_sql(AS_OF_SNAP, VT.AS_OF, "false", "update_points"))
+cte(
+    "last_updates",
+    """
+with x as (select p.target_period, p.t, f.feature_name, max(case when p.side = 0 then f.value end) as previous_value, max(case when p.side = 1 then f.value end) as updated_value
+  from features_around f join update_points p using (forecast_id) group by 1, 2, 3),
+ch as (select * from x where (previous_value is null) <> (updated_value is null) or abs(previous_value - updated_value) > 1e-12)
+select o.forecast_id, ch.feature_name, max(ch.t) as release_timestamp, arg_max(coalesce(cast(previous_value as varchar), ''), ch.t) as p, arg_max(coalesce(cast(updated_value as varchar), ''), ch.t) as u
+from origins o join ch on ch.target_period = o.target_period and ch.t < o.release_timestamp group by 1, 2
+""",
+)
+
+
 @query(
     "V16_last_update",
     """
-with fs as (select * from (values ('high_change', '2-HIGH'), ('urgent_level', '1-URGENT')) s(feature_name, series_id)),
-o as (select forecast_id, target_period, release_timestamp, cast(target_period - interval 1 month as date) as cutoff from origins where target_series_id = '3-MEDIUM'),
-ev as (select o.*, fs.feature_name, fs.series_id, d.t from o, fs join (select distinct series_id, effective_availability as t from known where series_id in ('1-URGENT', '2-HIGH')) d on d.series_id = fs.series_id and true where d.t < o.release_timestamp),
-st as (select ev.*, s.side, case s.side when 0 then t - interval 1 microsecond else t end as at from ev, (values (0), (1)) s(side)),
-c as (select series_id, observation_date, min(effective_availability) as first_at from known group by 1, 2),
-cur as (select st.forecast_id, st.feature_name, st.series_id, st.t, st.side, st.at, max(c.observation_date) as d from st join c on st.series_id = c.series_id and c.observation_date <= st.cutoff and c.first_at <= st.at group by all),
-v1 as (select cur.*, k.value as v from cur asof join known k on k.series_id = cur.series_id and k.observation_date = cur.d and cur.at >= k.effective_availability),
-v2 as (select v1.*, k.value as p from v1 asof left join known k on k.series_id = v1.series_id and k.observation_date = cast(v1.d - interval 1 month as date) and v1.at >= k.effective_availability),
-f as (select *, case when feature_name = 'urgent_level' then v else (v / nullif(p, 0) - 1) * 100 end as val from v2),
-ch as (select ev.forecast_id, ev.feature_name, ev.t, b.val as updated_value, a.val as previous_value from ev left join f a on a.forecast_id = ev.forecast_id and a.feature_name = ev.feature_name and a.t = ev.t and a.side = 0
-       left join f b on b.forecast_id = ev.forecast_id and b.feature_name = ev.feature_name and b.t = ev.t and b.side = 1
-       where (a.val is null) <> (b.val is null) or abs(a.val - b.val) > 1e-12)
-select forecast_id, feature_name, t as release_timestamp, previous_value, updated_value from (select *, row_number() over (partition by forecast_id, feature_name order by t desc) as rn from ch) z where rn = 1
+select forecast_id, feature_name, release_timestamp, cast(nullif(p, '') as double) as previous_value, cast(nullif(u, '') as double) as updated_value from last_updates
 """,
     "previous_value:3 updated_value:3",
 )
 def _(v):
-    specs = [s for s in SPECS if s.name in ("urgent_level", "high_change")]
-    targets = origins(v).where(F.col("target_series_id") == "3-MEDIUM")
-    return EV.last_update(v.vintages, targets, specs)
+    return UP.last_update(quarterly_vintages(v), origins(v), SPECS)
+
+
+@query(
+    "V16_update_event",
+    """
+with r as (select l.*, o.target_series_id, case feature_name when 'urgent_level' then '1-URGENT' when 'high_change' then '2-HIGH' when 'medium_trailing' then '3-MEDIUM' else '5-LOW' end as s,
+  case feature_name when 'medium_trailing' then 2 else 0 end as k from last_updates l join origins o using (forecast_id)),
+b as (select *, rank() over (partition by forecast_id order by cast(s = target_series_id as int), k, l.release_timestamp desc) as rn from (select * exclude (release_timestamp), release_timestamp from r) l)
+select forecast_id, release_timestamp, count(*) as changed_features, min(feature_name) as first_feature from b where rn = 1 group by 1, 2
+""",
+)
+def _(v):
+    updates = UP.last_update(quarterly_vintages(v), origins(v), SPECS)
+    return UP.update_event(updates, origins(v), SPECS)
 
 
 @query(
