@@ -380,7 +380,9 @@ def identify(docs: DataFrame, model: tuple[list[bytes], list[str], np.ndarray])
 def identify_by_labels(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Learn from the documents that are not held out, and score all of them."""
     model = train(docs.where(~held_out()), vocabulary)
-    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
 
 
 def keep_known(docs: DataFrame, at_least: float = 0.5, vocabulary: str = VOCABULARY) -> DataFrame:

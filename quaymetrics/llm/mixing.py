@@ -109,7 +109,7 @@ def place_documents(docs: DataFrame) -> DataFrame:
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"),
+            F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
         ),
         "sizes",
     )

@@ -190,7 +190,7 @@ def score_by_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out()), labels.where(~held_out()))
     return score(docs, model).select(
         "doc_id",
-        held_out().alias("held_out"),
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= GOOD).cast("int").alias("predicted"),
     )

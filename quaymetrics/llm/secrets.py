@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.text import require_columns
+from quaymetrics.llm.text import free_name, require_columns
 from quaymetrics.session import stored
 
 VALUE = "[A-Za-z0-9+/_.=-]"
@@ -74,7 +74,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = docs.select(
         "doc_id",
         text.alias("text"),
-        F.crc32(text.cast("binary")).alias("mark"),
+        F.xxhash64(text).alias("mark"),
         F.array_sort(
             F.concat(
                 spans(text, ASSIGN, "assign", long_enough),
@@ -166,7 +166,7 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, mark, base, linked): all spans of every document; mark is the text's crc32."""
+    """(doc_id, mark, base, linked): all spans of every document; mark is the text's xxhash64."""
     require_columns(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stored(scan(docs), "secrets")
@@ -209,12 +209,13 @@ def secret_report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE, by: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced; n_chars, if there, follows the text."""
+    doc_id, mark, spans = (free_name(n, docs.columns) for n in ("doc_id", "mark", "spans"))
     found = find_secrets(docs, scope).where(F.size("base") + F.size("linked") > 0)
     found = found.select(
-        F.col("doc_id").alias("_doc_id"),
-        F.col("mark").alias("_mark"),
-        F.array_sort(F.concat("base", "linked")).alias("_spans"),
-    ).dropDuplicates(["_doc_id", "_mark"])
+        F.col("doc_id").alias(doc_id),
+        F.col("mark").alias(mark),
+        F.array_sort(F.concat("base", "linked")).alias(spans),
+    ).dropDuplicates([doc_id, mark])
     text = F.coalesce("text", F.lit(""))
 
     def step(state: Column, s: Column) -> Column:
@@ -229,20 +230,19 @@ def redact(docs: DataFrame, scope: int = SCOPE, by: str = "[SECRET]") -> DataFra
         )
 
     clean = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1)),
     )
     joined = docs.join(
         found,
-        docs["doc_id"].eqNullSafe(found["_doc_id"])
-        & (F.crc32(text.cast("binary")) == found["_mark"]),
+        docs["doc_id"].eqNullSafe(found[doc_id]) & (F.xxhash64(text) == found[mark]),
         "left",
-    ).withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
+    ).withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         joined = joined.withColumn(
             "n_chars",
-            F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")),
+            F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")),
         )
     return joined.select(*docs.columns)

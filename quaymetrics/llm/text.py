@@ -168,3 +168,12 @@ def require_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not among those taken."""
+    used = {t.lower() for t in taken}
+    name = f"_{name}"
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
