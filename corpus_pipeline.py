@@ -1,4 +1,10 @@
-"""A training-corpus pipeline: five stages, each written and read again as the next one's input."""
+"""A training-corpus pipeline: five stages, each written and read again as the next one's input.
+
+Documents need doc_id and text; other columns, whatever their names, pass through unchanged until
+the last stage. Null texts go in the first stage. The later stages, each called on its own, count
+them as empty: near-duplicates of nothing, without test phrases, secrets or words to mix, and their
+text stays null. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymetrics.llm import language, leaks, mixing, near_dup, secrets
+from quaymetrics.llm import text as tx
 from quaymetrics.session import stored
 
 #: Share of the best language below which a document is rejected.
@@ -22,10 +29,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates.
 
-    Rows that share an id are one document; rows without an id stay.
+    Rows that share an id and a text are one document. Of different texts with one id, the one with
+    the least hash has the id, and the others stand behind all documents with an id of their own.
+    Rows without an id stay.
     """
-    ids = near_dup.link(docs).where("kept").select("doc_id")
-    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key, least = (tx.free_name(n, docs.columns) for n in ("key", "least"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = (
+        docs.where(F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min(own).alias(least), F.max(own).alias(key))
+        .where(F.col(least) != F.col(key))
+        .drop(key)
+    )
+    told = F.col(least).isNull() | (own == F.col(least))
+    other = F.pmod(own, F.lit(1 << 61)) + (1 << 61)
+    keyed = docs.join(shared, "doc_id", "left").withColumn(
+        key, F.when(told, F.col("doc_id").cast("long")).otherwise(other)
+    )
+    keyed = keyed.select(key, *docs.columns)
+    ids = near_dup.link(keyed.select(F.col(key).alias("doc_id"), "text")).where("kept")
+    kept = ids.select(F.col("doc_id").alias(key)).distinct()
+    named = keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
