@@ -114,3 +114,38 @@ def test_stages(spark):
 def test_run_is_the_registered_query(spark):
     got = queries.QUERIES["pipeline"](spark, SF)
     assert {"shard", "slot", "source", "text"} <= set(got.columns) and got.count() > 0
+
+
+def test_rows_of_one_id_and_clashing_columns(spark):
+    """Different texts of one id are different documents; any column name passes through."""
+    prose = [" ".join(f"{w}{k}" for k in range(40)) for w in ("der hund ", "the dog ", "une maison ")]
+    rows = [
+        (1, prose[0]), (1, prose[1]), (1, prose[1]), (2, prose[1] + " end"), (3, prose[2]), (None, prose[2]),
+        (4, "password = hunter22secret"), (4, "token: abcdef123456"), (5, None),
+    ]
+    names = "_doc_id string, _mark int, _spans string, mark string, spans int, _key int, __key int, _least int, crc int"
+    docs = spark.createDataFrame(
+        [(*r, "a", 1, "b", "c", 2, 3, 4, 5, 6) for r in rows], f"doc_id long, text string, {names}"
+    )
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert left == sorted(
+        [(1, prose[0]), (1, prose[1]), (3, prose[2]), (None, prose[2]), *rows[6:]], key=str
+    ) or left == sorted(
+        [(1, prose[0]), (2, rows[3][1]), (3, prose[2]), (None, prose[2]), *rows[6:]], key=str
+    )
+    clean = corpus_pipeline.secret_scan(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    texts = {r.text for r in clean.collect()}
+    assert not any("hunter22" in (t or "") or "abcdef123456" in (t or "") for t in texts)
+    assert corpus_pipeline.decontamination(spark, docs, SF).columns == docs.columns
+    mixed = corpus_pipeline.source_mixing(spark, docs.withColumn("source", docs["_doc_id"]), SF)
+    assert mixed.count() > 0
+
+
+def test_empty_table_through_the_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
