@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by suffix arrays.
 
-Each shard of candidate stretches (see repeats.py) has a whole suffix array made by Larsson-Sadakane
-refinement and Kasai's common prefixes; neighbours that share `length` bytes start a string that
+In each shard of candidate stretches (see repeats.py), the text covered by windows whose fingerprint
+occurs twice has a whole suffix array made by Larsson-Sadakane refinement and Kasai's common prefixes; neighbours that share `length` bytes start a string that
 occurs again. Anchors that need several shards are merged by binary search in their sorted runs.
 
 Null texts are empty. A text shorter than `length` loses nothing. Equal rows, the same doc_id or
@@ -38,20 +38,49 @@ def packed_symbols(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def likely_windows(shard: repeats.Shard, length: int) -> np.ndarray:
+    """Places among the shard's windows of those whose fingerprint occurs twice; all repeated
+    windows are among them, as equal windows have equal fingerprints."""
+    start, _ = shard.window_starts(length)
+    prints = repeats.rolling(shard.units.hash, length)[start]
+    order = np.argsort(prints)
+    same = prints[order[1:]] == prints[order[:-1]]
+    again = np.zeros(len(start), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return np.flatnonzero(again)
+
+
 def repeated_windows(shard: repeats.Shard, rule: repeats.Rule) -> np.ndarray:
-    """Which windows of the shard occur at least twice in it."""
-    raw = shard.units.raw
-    start, _ = shard.window_starts(rule.length)
+    """Which windows of the shard occur at least twice in it.
+
+    Only the text that likely windows cover is sorted. The suffix order then tells which of them
+    are equal byte by byte.
+    """
+    start, owner = shard.window_starts(rule.length)
+    hit = np.zeros(len(start), bool)
+    picked = likely_windows(shard, rule.length)
+    if not len(picked):
+        return hit
+    at, of = start[picked], owner[picked]
+    head = np.ones(len(at), bool)
+    head[1:] = (of[1:] != of[:-1]) | (at[1:] > at[:-1] + rule.length)
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(at)) - 1
+    sizes = at[last] + rule.length - at[first]
+    raw = shard.units.raw[tx.ranges(at[first], sizes)]
+    moved = at - np.repeat(at[first] - (np.cumsum(sizes) - sizes), np.diff(np.append(first, len(at))))
     # Kasai's floors hold for a whole order only
     order, _ = refine(packed_symbols(raw), len(raw), step=PACKED)
     prefix = common_prefixes(raw, order, rule.length)
     group = np.cumsum(prefix < rule.length) - 1
     valid = np.zeros(len(raw), bool)
-    valid[start] = True
+    valid[moved] = True
     members = np.bincount(group, valid[order], len(order) + 1)
     often = np.zeros(len(raw), bool)
     often[order] = members[group] > 1
-    return often[start]
+    hit[picked] = often[moved]
+    return hit
 
 
 def cut_spans(
