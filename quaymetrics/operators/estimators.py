@@ -54,6 +54,15 @@ def t_two_sided(t: float, dof: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+def t_critical(alpha: float, dof: float) -> float:
+    """The value that |t| exceeds with probability alpha."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2.0
+        low, high = (mid, high) if t_two_sided(mid, dof) > alpha else (low, mid)
+    return (low + high) / 2.0
+
+
 def symmetric(values: Mapping[str, float], k: int) -> np.ndarray:
     m = np.zeros((k, k))
     for i in range(k):
@@ -94,17 +103,67 @@ def linear(coefs: Sequence[float], cols: Sequence[Column]) -> Column:
     return out
 
 
+#: A column with less than this part of its own variation left after the others depends on them.
+DEPENDENT = 1e-10
+
+
+def independent_columns(
+    gram: np.ndarray, names: Sequence[str], sizes: Sequence[float], collinear: str = "error"
+) -> list[int]:
+    """Columns kept by a pivoted factorisation of their products, in order.
+
+    `sizes` are the columns' own sums of squares before anything was taken out of them. Of
+    dependent columns the later ones go: as an error, or with collinear="drop" by name.
+    """
+    if collinear not in ("error", "drop"):
+        raise ValueError(f"unknown treatment of collinear columns {collinear!r}")
+    k = len(names)
+    own = np.sqrt(np.maximum(np.asarray(sizes, float), 0.0))
+    scale = np.where(own > 0, own, np.inf)
+    left = np.array(gram[:k, :k], float) / np.outer(scale, scale)
+    kept: list[int] = []
+    while len(kept) < k:
+        rest = [i for i in range(k) if i not in kept]
+        best = max(rest, key=lambda i: (round(left[i, i], 9), -i))
+        pivot = left[best, best]
+        if not pivot > DEPENDENT:
+            break
+        kept.append(best)
+        left = left - np.outer(left[:, best], left[best]) / pivot
+    lost = [names[i] for i in range(k) if i not in kept]
+    if lost and collinear == "error":
+        raise ValueError(f"design is rank deficient: {', '.join(lost)} depend on other columns")
+    return sorted(kept)
+
+
+def solved(
+    gram: np.ndarray, kept: Sequence[int], k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse products and coefficients over the kept columns; zero elsewhere."""
+    inv, beta = np.zeros((k, k)), np.zeros(k)
+    at = np.ix_(kept, kept)
+    scale = np.sqrt(np.diag(gram)[list(kept)])
+    inv[at] = np.linalg.inv(gram[at] / np.outer(scale, scale)) / np.outer(scale, scale)
+    if gram.shape[0] > k:
+        beta = inv @ gram[:k, k]
+    return inv, beta
+
+
 def coefficient_table(
     df: DataFrame,
     names: Sequence[str],
     beta: np.ndarray,
     vcov: np.ndarray,
     dof: float,
-    **facts: float | int | str,
+    **facts: float | int | str | Sequence[int],
 ) -> DataFrame:
-    """The k estimated coefficients as a DataFrame."""
+    """The k estimated coefficients as a DataFrame; null where a column was dropped."""
+    kept = facts.pop("kept", range(len(names)))
     rows = []
     for i, name in enumerate(names):
+        if i not in kept:
+            rows.append((name, None, None, None, None, float(dof)))
+            continue
         se = math.sqrt(max(float(vcov[i, i]), 0.0))
         t = float(beta[i]) / se if se > 0 else float("nan")
         rows.append((name, float(beta[i]), se, t, t_two_sided(t, dof), float(dof)))
@@ -156,36 +215,68 @@ def ols(
     xs: Sequence[str],
     clusters: Sequence[str] = (),
     intercept: bool = True,
+    collinear: str = "error",
 ) -> DataFrame:
-    """OLS with HC1, one-way CR1, or two-way (inclusion-exclusion) cluster errors."""
+    """OLS with HC1, one-way CR1, or two-way (inclusion-exclusion) cluster errors.
+
+    Products are of centred regressors where there is an intercept, so that a large mean does not
+    look like dependence on it. Dependent regressors are an error, or dropped by name.
+    """
     clean = df.dropna(subset=[y, *xs, *clusters])
     names, cols = _design(xs, intercept)
     k = len(cols)
+    turn = np.eye(k)
+    if intercept and xs:
+        means = clean.agg(*[F.avg(F.col(x).cast("double")).alias(f"m{i}") for i, x in enumerate(xs)])
+        centre = [float(m or 0.0) for m in means.first()]
+        cols = [cols[0], *[c - m for c, m in zip(cols[1:], centre, strict=True)]]
+        turn[0, 1:] = [-m for m in centre]
     gram, n = cross_products(clean, [*cols, F.col(y).cast("double")])
-    inv = np.linalg.pinv(gram[:k, :k])
-    beta = inv @ gram[:k, k]
+    kept = independent_columns(gram, names, np.diag(gram)[:k], collinear)
+    inv, beta = solved(gram, kept, k)
     resid = F.col(y) - linear(beta, cols)
     scores = [c * resid for c in cols]
+    rank = len(kept)
+    facts = {"n_obs": n, "rank": rank, "kept": kept}
     if not clusters:
         meat, _ = cross_products(clean, scores)
-        vcov = inv @ meat @ inv * (n / max(n - k, 1))
-        return coefficient_table(clean, names, beta, vcov, n - k, n_obs=n, n_clusters=n)
+        vcov = turn @ (inv @ meat @ inv * (n / max(n - rank, 1))) @ turn.T
+        return coefficient_table(clean, names, turn @ beta, vcov, n - rank, n_clusters=n, **facts)
     vcov, smallest = np.zeros((k, k)), None
     for r in range(1, len(clusters) + 1):
         for combo in combinations(clusters, r):
             meat, g = cluster_meat(clean, scores, combo)
             if r == 1:
                 smallest = g if smallest is None else min(smallest, g)
-            adj = (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
+            adj = (g / max(g - 1, 1)) * ((n - 1) / max(n - rank, 1))
             vcov += (-1) ** (r + 1) * adj * (inv @ meat @ inv)
+    vcov = turn @ vcov @ turn.T
     return coefficient_table(
-        clean, names, beta, vcov, smallest - 1, n_obs=n, n_clusters=smallest
+        clean, names, turn @ beta, vcov, smallest - 1, n_clusters=smallest, **facts
     )
 
 
 # --- absorbed effects -------------------------------------------------------------
 
 
+def _demeaned(cells: DataFrame, prefix: str, cols: Sequence[str], effect: str) -> DataFrame:
+    means = cells.groupBy(effect).agg(
+        *[ratio(F.sum(F.col("_w") * F.col(f"{prefix}{c}")), F.sum("_w")).alias(f"_g_{c}") for c in cols]
+    )
+    return join_null_safe(cells, means, [effect]).withColumns(
+        {f"{prefix}{c}": F.col(f"{prefix}{c}") - F.coalesce(f"_g_{c}", F.lit(0.0)) for c in cols}
+    ).drop(*[f"_g_{c}" for c in cols])
+
+
+def _swept(cells: DataFrame, source: str, out: str, cols: Sequence[str], effects: Sequence[str]) -> DataFrame:
+    """`out` is `source` less its means by all effects but the first, forth and back, and by the
+    first: a symmetric step on what has no means by the first effect."""
+    done = cells.withColumns({f"{out}{c}": F.col(f"{source}{c}") for c in cols})
+    for e in [*effects[1:], *effects[-2:0:-1], effects[0]]:
+        done = _demeaned(done, out, cols, e)
+    return done
+
+
 def absorb(
     df: DataFrame,
     cols: Sequence[str],
@@ -193,59 +284,36 @@ def absorb(
     weight: str | None = None,
     tol: float = 1e-9,
     max_iter: int = 400,
+    start: str | None = None,
 ) -> tuple[DataFrame, int, bool]:
-    """Residuals of `cols` on the effects, as columns `<col>_w`, the rounds, and whether the last
-    of them moved less than `tol`.
+    """Residuals of `cols` on the effects, as columns `<col>_w`, the rounds, and whether what the
+    last of them still had to move is less than `tol`.
 
     What the effects take out depends only on the sums per combination of effects, so the
-    alternating projections run on that cell table, never on the rows. Hot effect values are
-    averaged by partial aggregation.
+    projections run on that cell table, never on the rows, by conjugate gradients on the symmetric
+    sweep over the effects. Hot effect values are averaged by partial aggregation. Each round is one
+    stored table. `start` is the prefix of columns with an earlier solution for each of `cols`, any
+    function of the effects, from which the search sets out.
     """
+    effects = list(effects)
     w = F.lit(1.0) if weight is None else F.col(weight)
+    begin = {c: F.col(c) - (F.col(f"{start}{c}") if start else F.lit(0.0)) for c in cols}
     cells = df.groupBy(*effects).agg(
-        F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s_{c}") for c in cols]
+        F.sum(w).alias("_w"), *[F.sum(w * begin[c]).alias(f"_s_{c}") for c in cols]
     )
     cells = cells.select(
-        *effects,
-        "_w",
-        *[ratio(F.col(f"_s_{c}"), F.col("_w")).alias(f"_m_{c}") for c in cols],
-    ).withColumns({f"_r_{c}": F.col(f"_m_{c}") for c in cols})
-    rounds, converged = 0, len(effects) == 1
+        *effects, "_w", *[ratio(F.col(f"_s_{c}"), F.col("_w")).alias(f"_m_{c}") for c in cols]
+    ).withColumns({f"_z_{c}": F.col(f"_m_{c}") for c in cols})
+    rounds, converged = 1, True
+    cells = _demeaned(cells, "_z_", cols, effects[0])
     if len(effects) > 1:
-        cells = stored(cells, "cells")
-    while True:
-        rounds += 1
-        start = cells.withColumns({f"_p_{c}": F.col(f"_r_{c}") for c in cols})
-        for e in effects:
-            means = start.groupBy(e).agg(
-                *[
-                    ratio(F.sum(F.col("_w") * F.col(f"_r_{c}")), F.sum("_w")).alias(f"_g_{c}")
-                    for c in cols
-                ]
-            )
-            start = join_null_safe(start, means, [e]).withColumns(
-                {f"_r_{c}": F.col(f"_r_{c}") - F.coalesce(f"_g_{c}", F.lit(0.0)) for c in cols}
-            ).drop(*[f"_g_{c}" for c in cols])
-        if len(effects) == 1:
-            cells = start
-            break
-        older, cells = cells, stored(start, "cells")
-        forget(older)
-        step = [F.abs(F.col(f"_r_{c}") - F.col(f"_p_{c}")) for c in cols]
-        size = [F.abs(F.col(f"_m_{c}")) for c in cols]
-        row = cells.agg(
-            F.max(F.greatest(*step) if len(step) > 1 else step[0]).alias("d"),
-            F.max(F.greatest(*size) if len(size) > 1 else size[0]).alias("s"),
-        ).first()
-        converged = (row["d"] or 0.0) / max(row["s"] or 0.0, 1.0) < tol
-        if converged or rounds >= max_iter:
-            break
+        cells, rounds, converged = _conjugate(cells, cols, effects, tol, max_iter)
     taken = cells.select(
-        *effects, *[(F.col(f"_m_{c}") - F.col(f"_r_{c}")).alias(f"_t_{c}") for c in cols]
+        *effects, *[(F.col(f"_m_{c}") - F.col(f"_z_{c}")).alias(f"_t_{c}") for c in cols]
     )
-    out = join_null_safe(df, taken, list(effects))
+    out = join_null_safe(df, taken, effects)
     return (
-        out.withColumns({f"{c}_w": F.col(c) - F.col(f"_t_{c}") for c in cols}).drop(
+        out.withColumns({f"{c}_w": begin[c] - F.col(f"_t_{c}") for c in cols}).drop(
             *[f"_t_{c}" for c in cols]
         ),
         rounds,
@@ -253,6 +321,57 @@ def absorb(
     )
 
 
+def _conjugate(
+    cells: DataFrame, cols: Sequence[str], effects: Sequence[str], tol: float, max_iter: int
+) -> tuple[DataFrame, int, bool]:
+    """Takes out of `_z_` what the sweep still moves, one direction `_p_` a round."""
+    first = _swept(stored(cells, "cells"), "_z_", "_v_", cols, effects)
+    gaps = {f"_r_{c}": F.col(f"_z_{c}") - F.col(f"_v_{c}") for c in cols}
+    cells = first.withColumns(gaps).withColumns({f"_p_{c}": F.col(f"_r_{c}") for c in cols})
+    cells = _swept(cells, "_p_", "_v_", cols, effects)
+    cells = stored(cells, "cells")
+    rounds = 1
+    while True:
+        # what the sweep moves a direction by is the direction less its sweep
+        sums = []
+        for c in cols:
+            r, p = F.col(f"_r_{c}"), F.col(f"_p_{c}")
+            moved = p - F.col(f"_v_{c}")
+            sums += [
+                F.sum(F.col("_w") * r * r).alias(f"rr_{c}"),
+                F.sum(F.col("_w") * p * moved).alias(f"pv_{c}"),
+                F.sum(F.col("_w") * r * moved).alias(f"rv_{c}"),
+                F.sum(F.col("_w") * moved * moved).alias(f"vv_{c}"),
+                F.max(F.abs(r)).alias(f"far_{c}"),
+                F.max(F.abs(F.col(f"_m_{c}"))).alias(f"size_{c}"),
+            ]
+        row = cells.agg(*sums).first().asDict()
+        far = {c: (row[f"far_{c}"] or 0.0) / max(row[f"size_{c}"] or 0.0, 1.0) for c in cols}
+        settled = max(far.values()) < tol
+        if settled or rounds >= max_iter:
+            return cells, rounds, settled
+        rounds += 1
+        step, turn = {}, {}
+        for c in cols:
+            rr, pv = row[f"rr_{c}"] or 0.0, row[f"pv_{c}"] or 0.0
+            # a settled column stays: what is left of it is rounding, which must not steer it
+            moves = far[c] >= tol and pv > 0
+            step[c] = rr / pv if moves else 0.0
+            ahead = rr - 2 * step[c] * row[f"rv_{c}"] + step[c] ** 2 * row[f"vv_{c}"] if moves else 0.0
+            turn[c] = max(ahead, 0.0) / rr if 0 < ahead < rr else 0.0
+        new = cells.withColumns(
+            {
+                **{f"_z_{c}": F.col(f"_z_{c}") - step[c] * F.col(f"_p_{c}") for c in cols},
+                **{
+                    f"_r_{c}": F.col(f"_r_{c}") - step[c] * (F.col(f"_p_{c}") - F.col(f"_v_{c}"))
+                    for c in cols
+                },
+            }
+        ).withColumns({f"_p_{c}": F.col(f"_r_{c}") + turn[c] * F.col(f"_p_{c}") for c in cols})
+        older, cells = cells, stored(_swept(new, "_p_", "_v_", cols, effects), "cells")
+        forget(older)
+
+
 def effect_levels(df: DataFrame, effects: Sequence[str]) -> int:
     """Parameters of the absorbed effects; each one after the first shares the intercept."""
     row = df.agg(*[F.count_distinct(e).alias(e) for e in effects]).first()
@@ -285,10 +404,12 @@ def ols_hdfe(
     weight: str | None = None,
     tol: float = 1e-9,
     max_iter: int = 400,
+    collinear: str = "error",
 ) -> DataFrame:
     """Weighted OLS with absorbed effects and cluster-robust errors.
 
-    `converged` is false on rows whose projections stopped at `max_iter` rounds.
+    `converged` is false on rows whose projections stopped at `max_iter` rounds. A regressor that
+    depends on the effects or on other regressors is an error, or dropped by name.
     """
     used = [y, *xs, *effects, *clusters, *([weight] if weight else [])]
     clean = df.select(*dict.fromkeys(used)).dropna()
@@ -298,11 +419,11 @@ def ols_hdfe(
     w = F.col(weight) if weight else F.lit(1.0)
     k = len(xs)
     gram, n = cross_products(within, [*cols, F.col(f"{y}_w")], w)
-    inv = np.linalg.pinv(gram[:k, :k])
-    beta = inv @ gram[:k, k]
+    kept = independent_columns(gram, xs, _sizes(clean, xs, w), collinear)
+    inv, beta = solved(gram, kept, k)
     resid = F.col(f"{y}_w") - linear(beta, cols)
     vcov, g = _cluster_vcov(within, inv, [c * w * resid for c in cols], clusters)
-    dof = max(n - k - effect_levels(clean, effects), 1)
+    dof = max(n - len(kept) - effect_levels(clean, effects), 1)
     vcov = vcov * (g / max(g - 1, 1)) * ((n - 1) / dof)
     return coefficient_table(
         clean,
@@ -312,11 +433,23 @@ def ols_hdfe(
         g - 1 if clusters else dof,
         n_obs=n,
         n_clusters=g,
+        rank=len(kept),
+        kept=kept,
         rounds=rounds,
         converged=converged,
     )
 
 
+def _sizes(df: DataFrame, xs: Sequence[str], weight: Column) -> list[float]:
+    """Weighted sums of squares of columns about their means."""
+    means = [float(m or 0.0) for m in df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).first()]
+    gaps = [F.col(x) - m for x, m in zip(xs, means, strict=True)]
+    # rounding leaves something of a constant column; that is not variation
+    row = df.agg(*[F.sum(weight * g * g).alias(f"s{i}") for i, g in enumerate(gaps)], F.sum(weight)).first()
+    floors = [(1e-12 * m) ** 2 * float(row[-1] or 0.0) for m in means]
+    return [s if (s or 0.0) > f else 0.0 for s, f in zip(row[:-1], floors, strict=True)]
+
+
 def ppml_hdfe(
     df: DataFrame,
     y: str,
@@ -325,6 +458,7 @@ def ppml_hdfe(
     clusters: Sequence[str] = (),
     tol: float = 1e-9,
     max_iter: int = 200,
+    collinear: str = "error",
 ) -> DataFrame:
     """Poisson pseudo-likelihood with absorbed effects by reweighted least squares.
 
@@ -365,24 +499,32 @@ def ppml_hdfe(
         and spread[f"p0_{x}"] != spread[f"z0_{x}"]
     ]
     base = stored(base, "poisson-rows")
-    work = base.withColumn("_mu", yy + 0.1).withColumn("_eta", F.ln("_mu"))
-    k, beta, last, rounds, converged = len(xs), np.zeros(len(xs)), None, 0, False
+    hints = ["_h__z", *[f"_h_{x}" for x in xs]]
+    work = base.withColumns({h: F.lit(0.0) for h in hints})
+    work = work.withColumn("_mu", yy + 0.1).withColumn("_eta", F.ln("_mu"))
+    k, beta, last, rounds, converged, inner_rounds = len(xs), np.zeros(len(xs)), None, 0, False, 0
     while rounds < max_iter:
         rounds += 1
         z = F.col("_eta") + (yy - F.col("_mu")) / F.col("_mu")
-        # Inner projections need only be as precise as the outer step is still long.
+        # Inner projections need only be as precise as the outer step is still long, and set out
+        # from what the effects took in the round before.
         inner = 1e-5 if rounds <= 2 else tol
-        within, _, inner_ok = absorb(work.withColumn("_z", z), ["_z", *xs], effects, "_mu", inner)
+        within, taken, inner_ok = absorb(
+            work.withColumn("_z", z), ["_z", *xs], effects, "_mu", inner, start="_h_"
+        )
+        inner_rounds += taken
         cols = [F.col(f"{x}_w") for x in xs]
         gram, n = cross_products(within, [*cols, F.col("_z_w")], F.col("_mu"))
-        inv = np.linalg.pinv(gram[:k, :k])
-        beta = inv @ gram[:k, k]
+        if rounds == 1:
+            kept = independent_columns(gram, xs, _sizes(work, xs, F.col("_mu")), collinear)
+        inv, beta = solved(gram, kept, k)
         eta = F.col("_z") - (F.col("_z_w") - linear(beta, cols))
         bounded = F.least(F.greatest(eta, F.lit(-80.0)), F.lit(80.0))
         older, work = work, stored(
             within.withColumn("_eta", bounded)
             .withColumn("_mu", F.exp("_eta"))
-            .select(*base.columns, "_mu", "_eta"),
+            .withColumns({f"_h_{c}": F.col(c) - F.col(f"{c}_w") for c in ("_z", *xs)})
+            .select(*base.columns, *hints, "_mu", "_eta"),
             "poisson",
         )
         forget(older)
@@ -392,11 +534,11 @@ def ppml_hdfe(
             converged = inner_ok
             break
         last = dev
-    within, _, scores_ok = absorb(work, list(xs), effects, "_mu", tol)
+    within, taken, scores_ok = absorb(work, list(xs), effects, "_mu", tol, start="_h_")
     converged = converged and scores_ok
     cols = [F.col(f"{x}_w") for x in xs]
     gram, n = cross_products(within, cols, F.col("_mu"))
-    inv = np.linalg.pinv(gram)
+    inv, _ = solved(gram, kept, k)
     resid = yy - F.col("_mu")
     vcov, g = _cluster_vcov(within, inv, [c * resid for c in cols], clusters)
     vcov = vcov * (g / max(g - 1, 1))
@@ -408,7 +550,10 @@ def ppml_hdfe(
         g - 1,
         n_obs=n,
         n_clusters=g,
+        rank=len(kept),
+        kept=kept,
         rounds=rounds,
+        inner_rounds=inner_rounds + taken,
         converged=converged,
         n_zero=spread["zeros"],
         separated=",".join(separated),
@@ -464,21 +609,21 @@ def wild_bootstrap(
 ) -> DataFrame:
     """Bootstrap-t p-value of the first regressor with the null imposed.
 
-    Rows are reduced to one set of cross-products per cluster before replicates multiply
+    `converged` is false where the absorbed effects were not settled. Rows are reduced to one set of cross-products per cluster before replicates multiply
     them, and signs are hashes of (cluster, replicate), so the result is reproducible.
     """
     clean = df.select(*dict.fromkeys([y, *xs, *effects, cluster])).dropna()
     clean = clean.withColumns({c: F.col(c).cast("double") for c in (y, *xs)})
-    within, _, _ = absorb(clean, [y, *xs], effects)
+    within, _, converged = absorb(clean, [y, *xs], effects)
     k = len(xs)
     cols = [F.col(f"{x}_w") for x in xs]
     yw = F.col(f"{y}_w")
     gram, n = cross_products(within, [*cols, yw])
-    inv = np.linalg.pinv(gram[:k, :k])
-    beta = inv @ gram[:k, k]
+    independent_columns(gram, xs, _sizes(clean, xs, F.lit(1.0)))
+    inv, beta = solved(gram, range(k), k)
     restricted = np.zeros(k)
     if k > 1:
-        restricted[1:] = np.linalg.pinv(gram[1:k, 1:k]) @ gram[1:k, k]
+        restricted[1:] = np.linalg.solve(gram[1:k, 1:k], gram[1:k, k])
     fitted = linear(restricted, cols)
     per_cluster = within.groupBy(cluster).agg(
         *[F.sum(c * fitted).alias(f"a{i}") for i, c in enumerate(cols)],
@@ -535,6 +680,7 @@ def wild_bootstrap(
         F.avg((F.abs("t") >= abs(float(t_obs))).cast("double")).alias("bootstrap_p_value"),
         F.lit(g).alias("n_clusters"),
         F.count(F.lit(1)).alias("n_boot"),
+        F.lit(converged).alias("converged"),
     )
 
 
@@ -716,15 +862,16 @@ def s_learner(
 # --- synthetic control ------------------------------------------------------------
 
 
-#: Donors whose products are solved for at once; more are an error, not a sample.
-MOST_DONORS = 2000
+#: Donors that join the active set in one round, and the gap, as a part of the treated path's own
+#: sum of squares, at which no donor can lower the objective any more.
+JOINING, GAP = 8, 1e-12
 
 
 def simplex_weights(
-    gram: np.ndarray, cross: np.ndarray, rounds: int = 50_000
-) -> tuple[np.ndarray, bool]:
-    """Minimise w'Gw - 2c'w over the simplex by accelerated projected gradient; and whether the
-    last round still moved."""
+    gram: np.ndarray, cross: np.ndarray, rounds: int = 20_000
+) -> np.ndarray:
+    """Minimise w'Gw - 2c'w over the simplex: accelerated projected gradient, then the exact
+    solution on the support that it found where that is feasible."""
     k = len(cross)
     w = v = np.full(k, 1.0 / k)
     top = float(np.linalg.eigvalsh(gram)[-1])
@@ -734,12 +881,103 @@ def simplex_weights(
         s = np.sort(u)[::-1]
         slack = (np.cumsum(s) - 1.0) / np.arange(1, k + 1)
         new = np.maximum(u - slack[np.nonzero(s - slack > 0)[0][-1]], 0.0)
+        if (v - new) @ (new - w) > 0:
+            momentum = 1.0
         nxt = (1.0 + math.sqrt(1.0 + 4.0 * momentum**2)) / 2.0
         v = new + (momentum - 1.0) / nxt * (new - w)
-        if float(np.max(np.abs(new - w))) < 1e-13:
-            return new, True
+        moved = float(np.max(np.abs(new - w)))
         w, momentum = new, nxt
-    return w, False
+        if moved < 1e-14:
+            break
+    support = np.flatnonzero(w > 1e-9)
+    m = len(support)
+    system = np.zeros((m + 1, m + 1))
+    system[:m, :m] = 2.0 * gram[np.ix_(support, support)]
+    system[:m, m] = system[m, :m] = 1.0
+    exact = np.linalg.lstsq(system, np.append(2.0 * cross[support], 1.0), rcond=None)[0][:m]
+    if np.all(exact >= 0) and abs(exact.sum() - 1.0) < 1e-9:
+        polished = np.zeros(k)
+        polished[support] = exact / exact.sum()
+        value = lambda x: x @ gram @ x - 2.0 * cross @ x
+        if value(polished) <= value(w):
+            return polished
+    return w
+
+
+def synthetic_weights(
+    panel: DataFrame,
+    unit: str,
+    time: str,
+    y: str,
+    treated: str,
+    first_post: str,
+    max_rounds: int = 200,
+) -> tuple[DataFrame, dict[str, float | int | bool]]:
+    """(u, w) of the donors with weight, and the facts of the fit.
+
+    Fully corrective conditional gradients: each round joins the residual of every pre-period to
+    all donors' rows, sums each donor's gradient, and takes in the few donors that lower the
+    objective most; the weights of the active donors are then solved for exactly. The optimum needs
+    at most one donor per pre-period and one more, so the active paths are small however many donors
+    there are. The gap bounds what any weights could still gain.
+    """
+    rows = panel.select(
+        F.col(unit).cast("string").alias("u"), F.col(time).alias("t"), F.col(y).cast("double").alias("v")
+    ).where(F.col(time) < first_post)
+    span = rows.agg(F.count_distinct("t")).scalar()
+    whole = rows.groupBy("u").agg(F.count("v").alias("n")).where(F.col("n") == span).select("u")
+    pre = stored(rows.join(whole, "u", "left_semi"), "donors")
+    mine = pre.where(F.col("u") == str(treated)).orderBy("t").collect()
+    others = pre.where(F.col("u") != str(treated))
+    n_donors = others.select("u").distinct().count()
+    if not mine or n_donors < 2:
+        raise ValueError("need the treated unit and two donors observed in all pre-periods")
+    times = [r["t"] for r in mine]
+    target = np.array([r["v"] for r in mine])
+    scale = max(float(target @ target), 1e-300)
+    active: list[str] = []
+    paths = np.zeros((0, len(times)))
+    weights = np.zeros(0)
+    rounds, gap = 0, math.inf
+    while rounds < max_rounds:
+        rounds += 1
+        fitted = weights @ paths if active else np.zeros(len(times))
+        residual = panel.sparkSession.createDataFrame(
+            [(i, float(e)) for i, e in enumerate(target - fitted)], "_k long, e double"
+        )
+        calendar = panel.sparkSession.createDataFrame(
+            [(t, i) for i, t in enumerate(times)], f"t {pre.schema['t'].dataType.simpleString()}, _k long"
+        ).join(residual, "_k")
+        gradient = others.join(calendar, "t").groupBy("u").agg(
+            (-2.0 * F.sum(F.col("v") * F.col("e"))).alias("g")
+        )
+        least = gradient.orderBy("g", "u").limit(JOINING).collect()
+        if active:
+            own = -2.0 * paths @ (target - fitted)
+            gap = float(weights @ own - min(least[0]["g"], own.min())) / scale
+            if gap < GAP:
+                break
+        fresh = [r["u"] for r in least if r["u"] not in active]
+        if not fresh:
+            break
+        found = {}
+        for r in others.where(F.col("u").isin(fresh)).collect():
+            found.setdefault(r["u"], {})[r["t"]] = r["v"]
+        active += sorted(found)
+        paths = np.vstack([paths, *[[[found[u][t] for t in times]] for u in sorted(found)]])
+        weights = simplex_weights(paths @ paths.T / scale, paths @ target / scale)
+        keep = weights > 0
+        active, paths, weights = [u for u, k in zip(active, keep, strict=True) if k], paths[keep], weights[keep]
+    forget(pre)
+    table = panel.sparkSession.createDataFrame(
+        [(u, float(w)) for u, w in zip(active, weights, strict=True)], "u string, w double"
+    )
+    return table, {
+        "n_donors": n_donors,
+        "rounds": rounds,
+        "optimality_gap": max(gap, 0.0),
+        "converged": gap < math.sqrt(GAP),
+    }
 
 
 def synthetic_control(
@@ -747,51 +985,18 @@ def synthetic_control(
 ) -> DataFrame:
     """Simplex-weighted donors matched on pre-period paths, and the gap in every period.
 
-    The panel is one row per (unit, period). Spark sums the products of each donor with each
-    other and with the treated path; the donor-sized problem is solved on the driver.
+    The panel is one row per (unit, period). `optimality_gap` is the most that other weights could
+    lower the pre-period sum of squares, as a part of the treated unit's own.
     """
-    pre = panel.where(F.col(time) < first_post).select(
-        F.col(unit).cast("string").alias("u"), F.col(time).alias("t"), F.col(y).alias("v")
-    )
-    span = pre.agg(F.count_distinct("t")).scalar()
-    whole = pre.groupBy("u").agg(F.count("v").alias("n")).where(F.col("n") == span).select("u")
-    pre = pre.join(whole, "u", "left_semi")
-    n_units = whole.limit(MOST_DONORS + 2).count()
-    if n_units > MOST_DONORS + 1:
-        raise ValueError(f"more than {MOST_DONORS} donors; name a narrower donor pool")
-    a, b = pre.alias("a"), pre.alias("b")
-    products = (
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.u") <= F.col("b.u")))
-        .groupBy(F.col("a.u").alias("i"), F.col("b.u").alias("j"))
-        .agg(F.sum(F.col("a.v") * F.col("b.v")).alias("p"))
-        .collect()
-    )
-    units = sorted({r["i"] for r in products} | {r["j"] for r in products})
-    donors = [u for u in units if u != str(treated)]
-    if str(treated) not in units or len(donors) < 2:
-        raise ValueError("need the treated unit and two donors observed in all pre-periods")
-    table = {(r["i"], r["j"]): r["p"] for r in products}
-
-    def at(i: str, j: str) -> float:
-        return table[min(i, j), max(i, j)]
-
-    scale = max(at(str(treated), str(treated)), 1e-300)
-    gram = np.array([[at(i, j) for j in donors] for i in donors]) / scale
-    cross = np.array([at(i, str(treated)) for i in donors]) / scale
-    weights, converged = simplex_weights(gram, cross)
-    w = panel.sparkSession.createDataFrame(
-        [(d, float(x)) for d, x in zip(donors, weights, strict=True)], "u string, w double"
-    )
-    keyed = panel.withColumn("u", F.col(unit).cast("string"))
-    joined = keyed.join(w, "u", "left")
+    w, facts = synthetic_weights(panel, unit, time, y, treated, first_post)
+    joined = panel.withColumn("u", F.col(unit).cast("string")).join(w, "u", "left")
     mine = F.col("u") == str(treated)
+    value = F.max(F.when(mine, F.col(y)))
+    synthetic = F.sum(F.when(~mine, F.coalesce("w", F.lit(0.0)) * F.col(y)))
     return joined.groupBy(time).agg(
-        F.max(F.when(mine, F.col(y))).alias("treated"),
-        F.sum(F.when(~mine, F.coalesce("w", F.lit(0.0)) * F.col(y))).alias("synthetic"),
-        (
-            F.max(F.when(mine, F.col(y)))
-            - F.sum(F.when(~mine, F.coalesce("w", F.lit(0.0)) * F.col(y)))
-        ).alias("gap"),
+        value.alias("treated"),
+        synthetic.alias("synthetic"),
+        (value - synthetic).alias("gap"),
         F.max((F.col(time) >= first_post).cast("int")).alias("post"),
-        F.lit(converged).alias("converged"),
+        *[F.lit(v).alias(k) for k, v in facts.items()],
     )

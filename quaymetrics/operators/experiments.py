@@ -5,7 +5,7 @@ Randomisation is by stable hash, so an assignment can be recomputed on any clust
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from statistics import NormalDist
 
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from quaymetrics.core import hash32, hash_rank, join_null_safe, quantiles, ratio, share, total
 from quaymetrics.operators import estimators as E
+from quaymetrics.session import stored
 
 # --- assignment -------------------------------------------------------------------
 
@@ -372,10 +373,15 @@ def event_study(
     treated: str = "is_treated_country",
     estimator: str = "ols",
 ) -> DataFrame:
-    """Dynamic effects by event time with absorbed effects; the reference row is zero."""
+    """Dynamic effects by event time with absorbed effects; the reference row is zero.
+
+    An event time without observations, or one the effects take up, has a null estimate.
+    """
+    if estimator not in ("ols", "ppml"):
+        raise ValueError(f"unknown estimator {estimator!r}")
     data, names = event_dummies(df, window, reference, treated=treated)
     fit = E.ppml_hdfe if estimator == "ppml" else E.ols_hdfe
-    return fit(data, outcome, names, effects, clusters)
+    return fit(data, outcome, names, effects, clusters, collinear="drop")
 
 
 def exposure_event_study(
@@ -403,7 +409,7 @@ def exposure_event_study(
             names.append(f"{c}_at_{t}")
             cols[names[-1]] = F.when(F.col(time) == t, F.col(c).cast("double")).otherwise(0.0)
     data = df.withColumns(cols).withColumn("_unit", F.col(unit))
-    return E.ols_hdfe(data, outcome, names, [unit, time], ["_unit"])
+    return E.ols_hdfe(data, outcome, names, [unit, time], ["_unit"], collinear="drop")
 
 
 def event_means(
@@ -475,6 +481,187 @@ def stack_cohorts(
     ).drop("_w")
 
 
+def stack_composition(stacked: DataFrame) -> DataFrame:
+    """What each wave carries in a stacked design."""
+    return stacked.groupBy("stack_id").agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        F.count_if("stack_treated").alias("n_treated_obs"),
+        F.count_distinct("hs10").alias("n_products"),
+        F.min("stack_treatment_month").alias("treatment_month_index"),
+    )
+
+
+def stacked_event_study(
+    df: DataFrame,
+    outcome: str,
+    cohorts: Mapping[str, int],
+    clusters: Sequence[str],
+    window: tuple[int, int] = (-12, 10),
+    reference: int = -3,
+    control: str = "never_treated_products",
+    estimator: str = "ols",
+) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, composition): event times pooled over waves, each wave with its own flow and
+    month effects, and what each wave carries.
+
+    The effects are crossed with the waves, so that one absorption serves all of them. A wave's
+    event month 0 falls in a calendar month of its own, so event time is not calendar time here.
+    """
+    stacked = stored(stack_cohorts(df, cohorts, window, control), "stacks")
+    coefficients = event_study(
+        stacked,
+        outcome,
+        ["stack_flow", "stack_month"],
+        clusters,
+        window,
+        reference,
+        treated="stack_treated",
+        estimator=estimator,
+    )
+    return coefficients, stack_composition(stacked)
+
+
+def pass_through(
+    panel: DataFrame,
+    outcome: str,
+    channels: Sequence[str],
+    post: Column,
+    unit: str,
+    time: str,
+    replicates: int = 999,
+) -> DataFrame:
+    """Effect of each exposure channel after a date, one by one and all channels jointly.
+
+    Unit and time effects are absorbed, errors are clustered by unit, and as units are often few a
+    wild bootstrap stands beside the analytic test of each single channel. `model` is the channel's
+    own name or `joint`.
+    """
+    terms = {c: f"{c}_x_post" for c in channels}
+    data = panel.withColumns({t: F.col(c) * post.cast("double") for c, t in terms.items()})
+    data = stored(data.withColumns({"_unit": F.col(unit)}), "channels")
+    out = []
+    for c, term in terms.items():
+        own = data.dropna(subset=[outcome, term])
+        fit = E.ols_hdfe(own, outcome, [term], [unit, time], ["_unit"])
+        boot = E.wild_bootstrap(own, outcome, [term], [unit, time], "_unit", replicates)
+        out.append(
+            fit.join(boot.select("term", "bootstrap_p_value", "n_boot"), "term").withColumn("model", F.lit(c))
+        )
+    if len(channels) > 1:
+        both = data.dropna(subset=[outcome, *terms.values()])
+        fit = E.ols_hdfe(both, outcome, list(terms.values()), [unit, time], ["_unit"])
+        out.append(fit.withColumn("model", F.lit("joint")))
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+    names = F.create_map(*[x for c, t in terms.items() for x in (F.lit(t), F.lit(c))])
+    return with_interval(table.withColumn("channel", names[F.col("term")]))
+
+
+def with_interval(table: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds ci_low and ci_high from each row's own degrees of freedom."""
+    dofs = {r[0] for r in table.select("dof").distinct().collect()}
+    half = F.lit(None).cast("double")
+    for d in dofs:
+        half = F.when(F.col("dof") == d, E.t_critical(alpha, d) * F.col("std_error")).otherwise(half)
+    return table.withColumns({"ci_low": F.col("estimate") - half, "ci_high": F.col("estimate") + half})
+
+
+# What each exposure slope is an estimate of.
+EXPOSURE_TARGETS = {
+    "treatment": "controlled_zone_direct_effect",
+    "neighbor_exposure": "spillover_effect",
+    "history_exposure": "controlled_history_exposure_response",
+}
+
+
+def exposure_response(
+    df: DataFrame,
+    outcome: str = "outcome",
+    cluster: str = "randomization_cluster",
+    exposures: Sequence[str] = ("treatment", "neighbor_exposure", "history_exposure"),
+    covariates: Sequence[str] = (),
+    minimum_clusters: int = 10,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """Own, neighbour and history exposure slopes, estimated jointly with clustered errors.
+
+    The slopes are per unit of exposure; they are not the effect of treating the whole market. Each
+    of these is an error: a missing column, an exposure or outcome that is not finite, rows of more
+    than one exposure mapping, fewer than two clusters, and exposures that depend on each other.
+    """
+    used = [outcome, cluster, *exposures, *covariates]
+    missing = sorted(set(used) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns for the exposure response: {', '.join(missing)}")
+    clean = df.dropna(subset=used)
+    numbers = [F.col(c).cast("double") for c in (outcome, *exposures, *covariates)]
+    infinite = [F.isnan(c) | (F.abs(c) == float("inf")) for c in numbers]
+    facts = clean.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(cluster).alias("clusters"),
+        F.count_if(reduce(lambda a, b: a | b, infinite)).alias("infinite"),
+        *(
+            [F.count_distinct("exposure_mapping_id").alias("mappings")]
+            if "exposure_mapping_id" in df.columns
+            else [F.lit(0).alias("mappings")]
+        ),
+    ).first()
+    if not facts["n"]:
+        raise ValueError("no row has all of outcome, cluster and exposures")
+    if facts["infinite"]:
+        raise ValueError(f"outcome and exposures must be finite: {facts['infinite']} row(s)")
+    if facts["mappings"] > 1:
+        raise ValueError(f"one exposure mapping is needed, found {facts['mappings']}")
+    if facts["clusters"] < 2:
+        raise ValueError("clustered errors need two clusters")
+    fit = E.ols(clean, outcome, [*exposures, *covariates], [cluster])
+    targets = F.create_map(*[F.lit(x) for pair in EXPOSURE_TARGETS.items() for x in pair])
+    rows = fit.where(F.col("term").isin(list(exposures))).withColumns(
+        {
+            "target_estimand": targets[F.col("term")],
+            "inference_valid": F.col("n_clusters") >= minimum_clusters,
+        }
+    )
+    return with_interval(rows, alpha)
+
+
+def estimate_ladder(
+    df: DataFrame,
+    rungs: Mapping[str, Callable[[DataFrame], DataFrame]],
+    on_error: str = "record",
+) -> DataFrame:
+    """Each method's estimate as one comparable row, or the reason why it does not apply.
+
+    A rung takes the data and returns a table with `estimate` and, where it has one, `standard_error`
+    (or `std_error`) and `n_obs`; its first row counts. An input that a method refuses (ValueError)
+    gives a row with status not_applicable, or with on_error="raise" stays an error.
+    """
+    if on_error not in ("record", "raise"):
+        raise ValueError(f"unknown on_error {on_error!r}")
+    rows = []
+    for name, rung in rungs.items():
+        try:
+            found = rung(df).first()
+            if found is None or found["estimate"] is None:
+                raise ValueError("no estimate")
+            facts = found.asDict()
+            se = facts.get("standard_error", facts.get("std_error"))
+            dof = facts.get("degrees_freedom", facts.get("dof"))
+            n = facts.get("n_obs") or (facts.get("n_treated", 0) + facts.get("n_control", 0)) or None
+            estimate = float(facts["estimate"])
+            half = None if not se else float(se) * (E.t_critical(0.05, dof) if dof else 1.959963984540054)
+            low, high = (None, None) if half is None else (estimate - half, estimate + half)
+            rows.append((name, "ok", estimate, None if se is None else float(se), low, high, n, None))
+        except ValueError as reason:
+            if on_error == "raise":
+                raise
+            rows.append((name, "not_applicable", None, None, None, None, 0, str(reason)))
+    return df.sparkSession.createDataFrame(
+        rows,
+        "method string, status string, estimate double, standard_error double, ci_low double, "
+        "ci_high double, n_obs long, reason string",
+    )
+
+
 # --- grids of cells ---------------------------------------------------------------
 
 

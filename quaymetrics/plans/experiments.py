@@ -321,6 +321,64 @@ def _(v):
     )
 
 
+# Double-demeaned by unit and period, which is exact on the balanced panel.
+cte(
+    "crossed",
+    "select *, treated * post + (unit * (year(time) * 4 + quarter(time)) % 5) as x, unit % 7 as e1, unit % 3 as e2 from did_panel",
+)
+
+
+def demeaned(c: str, name: str) -> str:
+    return f"{c} - avg({c}) over (partition by unit) - avg({c}) over (partition by time) + avg({c}) over () as {name}"
+
+
+def crossed(v):
+    quarter = F.year("time") * 4 + F.quarter("time")
+    return did_panel(v).withColumns(
+        {
+            "x": (F.col("treated") * F.col("post") + F.col("unit") * quarter % 5).cast("double"),
+            "e1": F.col("unit") % 7,
+            "e2": F.col("unit") % 3,
+            "cluster": F.col("unit"),
+        }
+    )
+
+
+LEVELS = "(select count(distinct unit) + count(distinct time) - 1 from did_panel)"
+
+
+@query(
+    "E10_ols_two_effects_balanced",
+    f"""
+with d as (select unit, {demeaned('y', 'y')}, {demeaned('x', 'x')} from crossed), b as (select sum(x * y) / sum(x * x) as b, sum(x * x) as sxx, count(*) as n from d),
+s as (select unit, sum(x * (y - b * x)) as s from d, b group by unit)
+select b as estimate, (select sqrt(sum(s * s) * count(*) / (count(*) - 1)::double) from s) * sqrt((n - 1) / (n - 1 - {LEVELS})::double) / sxx as std_error, n as n_obs, (select count(*) from s) as n_clusters, true as converged from b
+""",
+    "estimate std_error",
+)
+def _(v):
+    fit = E.ols_hdfe(crossed(v), "y", ["x"], ["unit", "time"], ["cluster"])
+    return fit.select("estimate", "std_error", "n_obs", "n_clusters", "converged")
+
+
+# With an effect of each group and of each period, the model is saturated.
+@query(
+    "E11_ppml_saturated",
+    """
+with z as (select *, greatest(y - 145, 0) as k from did_panel)
+select ln(avg(k) filter (where treated = 1 and post = 1) * avg(k) filter (where treated = 0 and post = 0) / (avg(k) filter (where treated = 1 and post = 0) * avg(k) filter (where treated = 0 and post = 1))) as estimate,
+  count(*) as n_obs, count(*) filter (where k = 0) as n_zero, true as converged from z
+""",
+    "estimate:5",
+)
+def _(v):
+    data = did_panel(v).withColumns(
+        {"k": F.greatest(F.col("y") - 145, F.lit(0.0)), "did": F.col("treated") * F.col("post"), "cluster": F.col("unit")}
+    )
+    fit = E.ppml_hdfe(data, "k", ["did"], ["treated", "post"], ["cluster"])
+    return fit.select("estimate", "n_obs", "n_zero", "converged")
+
+
 @query("E11_ppml_hdfe")
 def _(v):
     return E.ppml_hdfe(
@@ -411,30 +469,140 @@ for _name, _control, _extra, _where in (
     )
 
 
+# Two waves of units over whole windows of quarters.
+WAVES = {"A": 1996 * 4 + 1, "B": 1997 * 4 + 1}
+cte(
+    "wave_panel",
+    "select *, year(time) * 4 + quarter(time) as qi, case when unit < 3 then 'A' when unit < 6 then 'B' else 'NEVER_TREATED' end as cohort from did_panel",
+)
+cte(
+    "wave_stacks",
+    f"""
+select p.*, g, qi - m as k, cohort = g as mine from wave_panel p join (select * from (values ('A', {WAVES['A']}), ('B', {WAVES['B']})) w(g, m)) w on qi between m - 3 and m + 4 and cohort in (g, 'NEVER_TREATED')
+""",
+)
+
+
+def wave_panel(v):
+    unit = F.col("unit")
+    return did_panel(v).withColumns(
+        {
+            "month_index": F.year("time") * 4 + F.quarter("time"),
+            "treatment_cohort": F.when(unit < 3, "A").when(unit < 6, "B").otherwise("NEVER_TREATED"),
+            "is_treated_country": F.lit(True),
+            "flow_id": unit.cast("string"),
+            "month_key": F.col("time").cast("string"),
+            "hs10": unit.cast("string"),
+        }
+    )
+
+
+def stacked_waves(v):
+    return X.stacked_event_study(wave_panel(v), "y", WAVES, ["flow_id"], (-3, 4), -1)
+
+
+@query(
+    "E14_stacked_event_study",
+    """
+with m as (select g, k, avg(y) filter (where mine) - avg(y) filter (where not mine) as d, count(*) filter (where mine) as n1, count(*) filter (where not mine) as n0 from wave_stacks group by 1, 2),
+c as (select a.k, a.d - b.d as d, a.n1 * a.n0 / (a.n1 + a.n0)::double as w from m a join m b on a.g = b.g and b.k = -1 where a.k <> -1)
+select 'evt_' || case when k < 0 then 'm' else 'p' end || abs(k) as term, sum(w * d) / sum(w) as estimate, (select count(*) from wave_stacks) as n_obs, true as converged from c group by k
+""",
+    "estimate:5",
+)
+def _(v):
+    fit, _ = stacked_waves(v)
+    return fit.where(F.col("estimate").isNotNull()).select("term", "estimate", "n_obs", "converged")
+
+
+@query(
+    "E14_stack_composition",
+    """
+with w as (select * from (values ('A1', 23971), ('A2', 23984), ('A3', 23985)) c(g, m))
+select g as stack_id, count(*) as n_obs, count(*) filter (where treatment_cohort = g and is_treated_country) as n_treated_obs, count(distinct hs10) as n_products, min(m) as treatment_month_index
+from cohort_panel p join w on month_index between m - 12 and m + 10 and (treatment_cohort = g or treatment_cohort = 'NEVER_TREATED') group by 1
+""",
+)
+def _(v):
+    return X.stack_composition(X.stack_cohorts(cohort_panel(v), COHORTS, (-12, 10)))
+
+
+def propagation_panel(v):
+    return ppi_view(v).join(io_view(v), F.col("bea_industry") == F.col("industry_code"))
+
+
 @query("E15_propagation")
 def _(v):
-    panel = (
-        ppi_view(v)
-        .join(io_view(v), F.col("bea_industry") == F.col("industry_code"))
-        .withColumn("post", (F.col("month_index") >= 1998 * 12 + 8).cast("double"))
-        .withColumn("industry", F.col("bea_industry"))
+    return X.pass_through(
+        propagation_panel(v),
+        "log_ppi",
+        ["imported_input_cost_exposure", "downstream_total_requirements_exposure"],
+        F.col("month_index") >= 1998 * 12 + 8,
+        "bea_industry",
+        "month_date",
     )
-    out = None
-    for channel in ("imported_input_cost_exposure", "downstream_total_requirements_exposure"):
-        data = panel.withColumn("exposure_x_post", F.col(channel) * F.col("post"))
-        boot = E.wild_bootstrap(
-            data, "log_ppi", ["exposure_x_post"], ["bea_industry", "month_date"], "industry"
-        ).withColumn("channel", F.lit(channel))
-        out = boot if out is None else out.unionByName(boot)
-    return out
 
 
-@query("E16_wild_bootstrap")
+@query(
+    "E15_pass_through",
+    f"""
+with d as (select {demeaned('y', 'y')}, {demeaned('e1 * post', 'a')}, {demeaned('e2 * post', 'b')} from crossed),
+m as (select sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(a * y) as ay, sum(b * y) as bv, count(*) as n from d)
+select 'e1' as model, 'e1' as channel, ay / aa as estimate, n as n_obs, 20 as n_clusters, 199 as n_boot from m
+union all select 'e2', 'e2', bv / bb, n, 20, 199 from m
+union all select 'joint', 'e1', (ay * bb - bv * ab) / (aa * bb - ab * ab), n, 20, null from m
+union all select 'joint', 'e2', (bv * aa - ay * ab) / (aa * bb - ab * ab), n, 20, null from m
+""",
+    "estimate:5",
+)
+def _(v):
+    out = X.pass_through(crossed(v), "y", ["e1", "e2"], F.col("post") == 1, "unit", "time", 199)
+    return out.select("model", "channel", "estimate", "n_obs", "n_clusters", "n_boot")
+
+
+SIGN = H.format("cast(unit as varchar) || '|' || cast(r as varchar) || 'boot'")
+
+
+@query(
+    "E16_wild_bootstrap",
+    f"""
+with d as (select unit, {demeaned('y', 'y')}, {demeaned('treated * post', 'x')} from did_panel),
+c as (select unit, sum(x * y) as b, sum(x * x) as g from d group by unit), t as (select sum(b) / sum(g) as beta, sum(g) as gram, count(*) as g, (select count(*) from d) as n from c),
+o as (select beta, gram, g, n, sqrt((select sum(power(b - beta * c.g, 2)) from c, t) * (g / (g - 1)::double) * (n - 1) / (n - 1 - {LEVELS})::double) / gram as se from t),
+s as (select unit, r, b * case when {SIGN} % 2 = 0 then 1 else -1 end as b, g from c, range(1, 1000) x(r)),
+m as (select r, sum(b) / sum(g) as beta from s group by r), z as (select r, m.beta, sum(power(s.b - s.g * m.beta, 2)) as v from s join m using (r) group by 1, 2),
+f as (select abs(z.beta / (sqrt(v * (o.g / (o.g - 1)::double) * (n - 1) / (n - 2)::double) / gram)) >= abs(o.beta / se) - 1e-9::double as hit from z, o)
+select 'did' as term, beta as estimate, se as std_error, beta / se as t_observed, (select avg(cast(hit as double)) from f) as bootstrap_p_value, g as n_clusters, 999 as n_boot, true as converged from o
+""",
+    "estimate:5 std_error:5 t_observed:4 bootstrap_p_value",
+)
 def _(v):
     data = did_panel(v).withColumns(
         {"did": (F.col("treated") * F.col("post")).cast("double"), "cluster": F.col("unit")}
     )
-    return E.wild_bootstrap(data, "y", ["did"], ["unit", "time"], "cluster")
+    return E.wild_bootstrap(data, "y", ["did"], ["unit", "time"], "cluster").drop("analytic_p_value")
+
+
+@query(
+    "E06_estimator_ladder",
+    f"""
+select 'diff_in_means' as method, 'ok' as status, avg(y) filter (where treated = 1) - avg(y) filter (where treated = 0) as estimate, count(*) as n_obs from did_panel
+union all select 'ols', 'ok', regr_slope(y, treated * post), count(*) from did_panel
+union all select 'did', 'ok', {DID}, count(*) from did_panel
+union all select 'ols_constant', 'not_applicable', null, 0 union all select 'synthetic_control', 'not_applicable', null, 0
+""",
+    "estimate:5",
+)
+def _(v):
+    data = did_panel(v).withColumns({"d": F.col("treated") * F.col("post"), "one": F.lit(1.0)})
+    rungs = {
+        "diff_in_means": lambda df: E.diff_in_means(df, "y", "treated"),
+        "ols": lambda df: E.ols(df, "y", ["d"], ["unit"]).where("term = 'd'"),
+        "ols_constant": lambda df: E.ols(df, "y", ["one"]),
+        "did": lambda df: E.did(df, "y", "unit", "time", "treated", "post"),
+        "synthetic_control": lambda df: E.synthetic_control(df, "unit", "time", "y", "99", "1998-07-01"),
+    }
+    return X.estimate_ladder(data, rungs).select("method", "status", "estimate", "n_obs")
 
 
 @query("E17_aipw")
@@ -459,6 +627,28 @@ def _(v):
     return E.synthetic_control(did_panel(v), "unit", "time", "y", "3", "1998-07-01")
 
 
+# Unit 0 made a mix of units 8 and 11 before the date: the optimum is that mix.
+@query(
+    "E19_synthetic_control_of_a_mix",
+    """
+with m as (select time, 0.7::double * max(y) filter (where unit = 8) + 0.3::double * max(y) filter (where unit = 11) as s, max(post) as post from did_panel group by time)
+select time, s + 12 * post as treated, s as synthetic, 12.0::double * post as gap, post, 19 as n_donors, true as converged from m
+""",
+    "treated:4 synthetic:4 gap:4",
+)
+def _(v):
+    panel = did_panel(v)
+    weight = F.when(F.col("unit") == 8, 0.7).when(F.col("unit") == 11, 0.3)
+    mixed = panel.where(F.col("unit").isin(8, 11)).groupBy("time").agg(
+        (F.sum(F.col("y") * weight) + 12 * F.max("post")).alias("mix")
+    )
+    panel = panel.join(mixed, "time").withColumn(
+        "y", F.when(F.col("unit") == 0, F.col("mix")).otherwise(F.col("y"))
+    )
+    out = E.synthetic_control(panel, "unit", "time", "y", "0", "1998-07-01")
+    return out.select("time", "treated", "synthetic", "gap", "post", "n_donors", "converged")
+
+
 @query("E20_exposure_response")
 def _(v):
     exposed = MB.neighbor_exposure(assign_view(v), edges_view(v), history_lags=1)
@@ -466,10 +656,8 @@ def _(v):
     base = (hash32("zone_id", "period_id") % 1000) / 1000.0
     data = exposed.withColumn(
         "outcome", 2.0 * F.col("treatment") + F.col("neighbor_exposure") + base + zone / 10
-    ).withColumn("cluster", F.floor(zone / 5))
-    return E.ols(
-        data, "outcome", ["treatment", "neighbor_exposure", "history_exposure"], ["cluster"]
-    )
+    ).withColumn("randomization_cluster", F.floor(zone / 5))
+    return X.exposure_response(data)
 
 
 CELLS = {
