@@ -193,11 +193,14 @@ def expand_days(
     return days.dropDuplicates([key, "service_date"])
 
 
-def event_calendar(days: DataFrame, first: str, last: str) -> DataFrame:
-    """Every day of the period with active ids, conditional counts and sorted major names.
+def major_names(days: DataFrame) -> DataFrame:
+    """The distinct names of each day's major events, one row per day and name."""
+    return days.where("major").select("service_date", "event_name").distinct()
 
-    Distinct names are found before they are listed, so a busy day gathers names, not rows.
-    """
+
+def event_calendar(days: DataFrame, first: str, last: str) -> DataFrame:
+    """Every day of the period with active ids, conditional counts, and of its major names the
+    number and the first; major_names() lists them."""
     bounds = [F.lit(first).cast("date"), F.lit(last).cast("date")]
     calendar = days.sparkSession.range(1).select(
         F.explode(F.sequence(*bounds)).alias("service_date")
@@ -207,18 +210,13 @@ def event_calendar(days: DataFrame, first: str, last: str) -> DataFrame:
         F.count_if("public").alias("active_public_events"),
         F.count_if("major").alias("active_major_events"),
     )
-    names = (
-        days.where("major")
-        .select("service_date", "event_name")
-        .distinct()
-        .groupBy("service_date")
-        .agg(F.array_join(F.array_sort(F.collect_list("event_name")), " | ").alias("major_names"))
+    names = major_names(days).groupBy("service_date").agg(
+        F.count("event_name").alias("n_major_names"), F.min("event_name").alias("first_major_name")
     )
     table = (
         calendar.join(daily, "service_date", "left")
         .join(names, "service_date", "left")
-        .fillna(0, ["active_events", "active_public_events", "active_major_events"])
-        .fillna("", ["major_names"])
+        .fillna(0, ["active_events", "active_public_events", "active_major_events", "n_major_names"])
     )
     median = total(table, F.percentile("active_events", 0.5))
     return table.withColumns(

@@ -30,31 +30,48 @@ def _complete(units: DataFrame, key: Sequence[str], p: float, salt: str) -> Data
 
     A single unit falls back to a coin with the configured probability.
     """
-    n = total(units, F.count(F.lit(1)))
-    ranked = hash_rank(units, [], hash32(*key, salt=salt), list(key), "_rank")
+    n = F.col("_n")
+    ranked = hash_rank(units, [], hash32(*key, salt=salt), list(key), "_rank").withColumn(
+        "_n", total(units, F.count(F.lit(1)))
+    )
     coin = (hash32(*key, salt=salt) < int(p * 2**32)).cast("int")
     arm = F.when(n == 1, coin).otherwise((F.col("_rank") <= treated_count(n, p)).cast("int"))
     prob = F.when(n == 1, F.lit(p)).otherwise(ratio(treated_count(n, p), n))
     return ranked.withColumns(
         {"assigned_treatment": arm, "treatment_probability": prob}
-    ).drop("_rank")
+    ).drop("_rank", "_n")
 
 
 def assign_individual(units: DataFrame, key: str, p: float, salt: str = "") -> DataFrame:
     return _complete(units, [key], p, salt)
 
 
+#: Units of an aggregated cell that are drawn in one go.
+BLOCK = 1 << 14
+
+
 def assign_individual_shares(
     cells: DataFrame, key: str, count: str, p: float, salt: str = ""
 ) -> DataFrame:
-    """Aggregated cells: each of a cell's units is drawn on its own; the cell gets the share."""
-    unit = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count)))
-    draws = cells.select(key, unit.alias("_u")).withColumn(
+    """Aggregated cells: each of a cell's units is drawn on its own; the cell gets the share.
+
+    Units are counted off in blocks that are dealt to tasks, so a cell may have any number of them.
+    """
+    n = F.col(count).cast("bigint")
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / BLOCK)))
+    blocks = cells.where(n > 0).select(key, n.alias("_n"), block.alias("_b")).repartition(key, "_b")
+    unit = F.explode(
+        F.sequence(F.col("_b") * BLOCK + 1, F.least(F.col("_n"), (F.col("_b") + 1) * BLOCK))
+    )
+    draws = blocks.select(key, unit.alias("_u")).withColumn(
         "_t", hash32(key, "_u", salt=salt) < int(p * 2**32)
     )
     sums = draws.groupBy(key).agg(F.count_if("_t").alias("treated_units"))
-    return cells.join(sums, key).withColumn(
-        "assigned_treatment", ratio(F.col("treated_units"), F.col(count))
+    return cells.join(sums, key, "left").withColumns(
+        {
+            "treated_units": F.coalesce("treated_units", F.lit(0)),
+            "assigned_treatment": ratio(F.coalesce("treated_units", F.lit(0)), F.col(count)),
+        }
     )
 
 

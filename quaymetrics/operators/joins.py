@@ -243,14 +243,19 @@ def to_parent(df: DataFrame, codes: str, delineation: DataFrame, vintage: str) -
 def code_stability(members: DataFrame) -> DataFrame:
     """Verdict on a code from its member sets across vintages.
 
-    `members` is (vintage, code, member); members are distinct before they are listed.
+    `members` is (vintage, code, member). A set is known by a digest that partial aggregates merge:
+    the number of its distinct members and two 64-bit combinations of their hashes.
     """
     sets = (
         members.select("vintage", "code", "member")
         .distinct()
         .groupBy("code", "vintage")
         .agg(
-            F.array_join(F.array_sort(F.collect_list("member")), "|").alias("members"),
+            F.struct(
+                F.count(F.lit(1)),
+                F.bit_xor(F.xxhash64(F.lit(1), "member")),
+                F.sum(F.xxhash64(F.lit(2), "member").cast("decimal(20,0)")),
+            ).alias("members"),
             F.count(F.lit(1)).alias("n"),
         )
     )

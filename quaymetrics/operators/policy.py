@@ -373,14 +373,10 @@ def classify_products(
 
 
 def hs6_children(lines: DataFrame) -> DataFrame:
-    """Sorted distinct 8-digit lines under each heading."""
-    return (
-        lines.select(F.substring("hts8", 1, 6).alias("hs6"), "hts8")
-        .distinct()
-        .groupBy("hs6")
-        .agg(F.array_join(F.array_sort(F.collect_list("hts8")), "|").alias("lines"),
-             F.count(F.lit(1)).alias("n_lines"))
-    )
+    """Distinct 8-digit lines with their heading and the number of lines it has, one row per line."""
+    distinct = lines.select(F.substring("hts8", 1, 6).alias("hs6"), "hts8").distinct()
+    sizes = distinct.groupBy("hs6").agg(F.count(F.lit(1)).alias("n_lines"))
+    return join_null_safe(distinct, sizes, ["hs6"])
 
 
 def resolve_truncated(

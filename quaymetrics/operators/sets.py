@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymetrics.core import running_total
+from quaymetrics.session import stored
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -46,11 +47,16 @@ def top_k(df: DataFrame, k: int, order: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def total_order(
-    df: DataFrame, bucket: str, order: Sequence[str | Column], out: str
-) -> DataFrame:
-    """Position of every row in (bucket, order); each bucket is ranked on its own."""
-    return running_total(df, [], bucket, order, F.lit(1), out)
+def total_order(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """Position of every row in the order.
+
+    Rows are dealt to ranges whose bounds are sampled from the data by the whole order, so that
+    many rows in a narrow band spread over many ranges; each range is then ranked on its own. The
+    dealt rows are stored, as sampled bounds may differ from one run of the plan to the next.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    return running_total(stored(ranged, "ranges"), [], "_range", order, F.lit(1), out).drop("_range")
 
 
 def pivot_measures(

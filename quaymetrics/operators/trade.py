@@ -474,12 +474,12 @@ def io_exposure(
 
 
 def industry_index(obs: DataFrame, link: DataFrame) -> DataFrame:
-    """Component series averaged to an industry index, with the number of components."""
-    parts = link.select(
-        "bea_industry", F.explode(F.split("matched_components", r"\|")).alias("naics")
-    ).where(F.col("naics") != "")
+    """Component series averaged to an industry index, with the number of components.
+
+    `link` has one row per industry and component (bea_industry, naics).
+    """
     return (
-        obs.join(parts, "naics")
+        obs.join(link.select("bea_industry", "naics").distinct(), "naics")
         .groupBy("bea_industry", M)
         .agg(
             F.avg("index_value").alias("ppi_index"),

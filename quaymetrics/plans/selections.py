@@ -204,8 +204,7 @@ select hs10, country_code, month_date, con_val_mo,
 def _(v):
     return ST.total_order(
         v.trade.select("hs10", "country_code", "month_date", "con_val_mo"),
-        "month_date",
-        [F.desc("con_val_mo"), "hs10", "country_code"],
+        ["month_date", F.desc("con_val_mo"), "hs10", "country_code"],
         "position",
     )
 

@@ -264,8 +264,8 @@ def _(v):
 @query(
     "J07_full_pre_post",
     """
-with a as (select hs10, country_code, sum(con_val_mo) as v from trade where year(month_date) = 1996 group by 1, 2 having sum(con_val_mo) > 100000),
-b as (select hs10, country_code, sum(con_val_mo) as v from trade where year(month_date) = 2000 group by 1, 2 having sum(con_val_mo) > 100000)
+with a as (select hs10, country_code, sum(con_val_mo) as v from trade where year(month_date) = 1996 group by 1, 2),
+b as (select hs10, country_code, sum(con_val_mo) as v from trade where year(month_date) = 2000 group by 1, 2)
 select coalesce(a.hs10, b.hs10) as hs10, coalesce(a.country_code, b.country_code) as country_code, coalesce(a.v, 0) as pre_value, coalesce(b.v, 0) as post_value
 from a full join b on a.hs10 = b.hs10 and a.country_code = b.country_code
 """,
@@ -277,7 +277,6 @@ def _(v):
             v.trade.where(F.year("month_date") == year)
             .groupBy("hs10", "country_code")
             .agg(F.sum("con_val_mo").alias("v"))
-            .where("v > 100000")
         )
 
     return TD.full_pre_post(window(1996), window(2000), ["hs10", "country_code"], "v")
@@ -285,7 +284,7 @@ def _(v):
 
 # --- industry exposure ------------------------------------------------------------
 
-cte("commodity_map", "select distinct hs6, cast(cast(hs6 as integer) % 9 as varchar) as commodity_code from trade where cast(hs6 as integer) <> 17")
+cte("commodity_map", "select distinct case when cast(hs6 as integer) = 17 then 'x' else '' end || hs6 as hs6, cast(cast(hs6 as integer) % 9 as varchar) as commodity_code from trade")
 cte(
     "commodity",
     """
@@ -300,8 +299,9 @@ from j where commodity_code is not null group by 1
 
 def commodity_view(v):
     k = F.col("hs6").try_cast("int")
-    mapping = v.trade.select("hs6").distinct().where(k != 17).withColumn(
-        "commodity_code", (k % 9).cast("string")
+    renamed = F.concat(F.when(k == 17, "x").otherwise(""), "hs6")
+    mapping = v.trade.select("hs6").distinct().select(
+        renamed.alias("hs6"), (k % 9).cast("string").alias("commodity_code")
     )
     return TD.commodity_exposure(panel_view(v), mapping, 1997 * 12 + 6)
 
@@ -369,7 +369,7 @@ cte(
 with o as (select hs6 as naics, month_date, sum(con_val_mo) / nullif(sum(con_qy1_mo), 0) as index_value from trade group by 1, 2)
 select cast(cast(naics as integer) % 5 as varchar) as bea_industry, month_date, avg(index_value) as ppi_index, count(distinct naics) as n_component_series,
        ln(avg(index_value)) as log_ppi, year(month_date) * 12 + month(month_date) as month_index
-from o where cast(naics as integer) % 7 <> 6 group by 1, 2
+from o group by 1, 2
 """,
 )
 
@@ -382,9 +382,7 @@ def ppi_view(v):
     link = (
         v.trade.select("hs6")
         .distinct()
-        .where(k % 7 != 6)
-        .groupBy((k % 5).cast("string").alias("bea_industry"))
-        .agg(F.array_join(F.array_sort(F.collect_list("hs6")), "|").alias("matched_components"))
+        .select((k % 5).cast("string").alias("bea_industry"), F.col("hs6").alias("naics"))
     )
     return TD.industry_index(obs, link)
 
