@@ -7,6 +7,7 @@ ranks, quantiles) are two-level, with a small table of bucket totals in between.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -199,6 +200,82 @@ def quantiles(
     return located.groupBy(*keys).agg(*exprs)
 
 
+def table_quantiles(
+    df: DataFrame, wanted: Mapping[str, tuple[Column, Mapping[str, float]]], per_octave: int = 64
+) -> dict[str, dict[str, float | None]]:
+    """Exact interpolated quantiles of several columns over the whole table.
+
+    The table is read twice: once for the rows per ordered bucket, of which there is a fixed number
+    per power of two, and once for the rows of the few buckets that hold a wanted position. Only
+    these counts and the found values reach the driver.
+    """
+    names = list(wanted)
+    parts = []
+    for k, name in enumerate(names):
+        v = wanted[name][0].cast("double")
+        parts.append(F.struct(F.lit(k).alias("m"), v.alias("v"), log_bucket(v, per_octave).alias("b")))
+    rows = df.select(F.inline(F.array(*parts))).where(F.col("v").isNotNull())
+    counts: dict[int, list[tuple[int, int]]] = {k: [] for k in range(len(names))}
+    for r in rows.groupBy("m", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["m"]].append((r["b"], r["n"]))
+    asked, hit = [], set()
+    for k, name in enumerate(names):
+        total_rows = sum(n for _, n in counts[k])
+        for label, p in wanted[name][1].items():
+            at = p * (total_rows - 1)
+            for edge in {math.floor(at), math.ceil(at)} if total_rows else ():
+                before = 0
+                for b, n in sorted(counts[k]):
+                    if edge < before + n:
+                        asked.append((k, label, edge, b, edge - before))
+                        hit.add((k, b))
+                        break
+                    before += n
+    inside = reduce(
+        lambda a, b: a | b,
+        [(F.col("m") == k) & F.col("b").isin([b for j, b in hit if j == k]) for k in range(len(names))],
+        F.lit(False),
+    )
+    distinct = rows.where(inside).groupBy("m", "b", "v").agg(F.count(F.lit(1)).alias("n"))
+    start = F.coalesce(F.sum("n").over(rows_before(["m", "b"], "v")), F.lit(0))
+    placed = distinct.withColumn("start", start)
+    places: dict[tuple[int, int], set[int]] = {}
+    for k, _, _, b, local in asked:
+        places.setdefault((k, b), set()).add(local)
+    holds = reduce(
+        lambda x, y: x | y,
+        [
+            (F.col("m") == k)
+            & (F.col("b") == b)
+            & reduce(
+                lambda x, y: x | y,
+                [(F.col("start") <= i) & (F.lit(i) < F.col("start") + F.col("n")) for i in sorted(local)],
+            )
+            for (k, b), local in places.items()
+        ],
+        F.lit(False),
+    )
+    values = [tuple(r) for r in placed.where(holds).select("m", "b", "v", "n", "start").collect()]
+
+    def value_at(k: int, edge: int, label: str) -> float:
+        b, local = next((x[3], x[4]) for x in asked if x[:3] == (k, label, edge))
+        return next(v for m, c, v, n, s in values if (m, c) == (k, b) and s <= local < s + n)
+
+    out: dict[str, dict[str, float | None]] = {}
+    for k, name in enumerate(names):
+        total_rows = sum(n for _, n in counts[k])
+        out[name] = {}
+        for label, p in wanted[name][1].items():
+            if not total_rows:
+                out[name][label] = None
+                continue
+            at = p * (total_rows - 1)
+            low = value_at(k, math.floor(at), label)
+            high = value_at(k, math.ceil(at), label)
+            out[name][label] = low + (high - low) * (at - math.floor(at))
+    return out
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,

@@ -7,7 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaymetrics.core import asof_backward, hash32, hash_rank, quantiles, running_total
+from quaymetrics.core import (
+    asof_backward,
+    hash32,
+    hash_rank,
+    quantiles,
+    running_total,
+    table_quantiles,
+)
 from quaymetrics.functions import columns as C
 from quaymetrics.operators import estimators as E
 from quaymetrics.operators import experiments as X
@@ -277,3 +284,42 @@ def _parse(schema):
     from pyspark.sql import types as T
 
     return T._parse_datatype_string(schema)
+
+
+def test_zone_correlations_match_numpy(spark, monkeypatch):
+    from quaymetrics.operators import mobility as MB
+
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2024, 1, 30)
+    rows = [
+        (f"z{z}", start + dt.timedelta(hours=h), int(rng.integers(0, 9)) if z else 4)
+        for h in range(120) for z in range(7) if rng.random() < 0.8
+    ]
+    panel = spark.createDataFrame(rows, "zone_id string, time_bin timestamp_ntz, trip_count long")
+    got = {(r.origin_zone, r.comparison_zone): r.demand_correlation for r in MB.cross_zone_correlation(panel).collect()}
+    by = {}
+    for z, t, y in rows:
+        by.setdefault(z, {})[t] = y
+    for a in by:
+        for b in by:
+            both = [t for t in by[a] if t in by[b]]
+            x, y = ([by[k][t] for t in both] for k in (a, b))
+            if "z0" in (a, b):
+                assert (a, b) not in got
+            else:
+                assert np.isclose(got[a, b], np.corrcoef(x, y)[0, 1])
+    monkeypatch.setattr(MB, "MOST_ZONES", 3)
+    with pytest.raises(ValueError, match="7 zones"):
+        MB.cross_zone_correlation(panel)
+
+
+def test_table_quantiles_match_numpy(spark):
+    rng = random.Random(2)
+    rows = [(rng.gauss(0, 50), float(rng.randrange(4)), None) for _ in range(700)] + [(None, 2.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.973, "e": 1.0}
+    got = table_quantiles(df, {c: (F.col(c), probs) for c in "xyz"})
+    for k, c in enumerate("xy"):
+        values = [r[k] for r in rows if r[k] is not None]
+        assert np.allclose([got[c][n] for n in probs], np.quantile(values, list(probs.values())))
+    assert set(got["z"].values()) == {None}
