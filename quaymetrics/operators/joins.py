@@ -401,3 +401,82 @@ def local_panel(
         .join(yearly_unemployment, keys, "left")
     )
     return out.withColumns({"log_permits": safe_log("permits"), "log_hpi": safe_log("hpi_year_end")})
+
+
+def application_counts(rows: DataFrame) -> DataFrame:
+    """Loan applications per area and year: originations by purpose, and purchase denials.
+
+    `rows` has geography, year, purpose (purchase or refinance) and action (originated, denied or
+    another). Decided purchase applications are the base of a denial rate.
+    """
+    purpose, action = F.col("purpose"), F.col("action")
+    made, refused = action == "originated", action == "denied"
+    purchase = purpose == "purchase"
+    return rows.groupBy("geography", "year").agg(
+        F.count_if(purchase & made).alias("n_purchase_originations"),
+        F.count_if((purpose == "refinance") & made).alias("n_refi_originations"),
+        F.count_if(purchase & (made | refused)).alias("n_purchase_applications"),
+        F.count_if(purchase & refused).alias("n_purchase_denials"),
+    )
+
+
+def positive_log(c: str) -> Column:
+    """Log of a count; null at zero, as a zero has no log and must not become one."""
+    return F.when(F.col(c) > 0, F.ln(F.col(c).cast("double")))
+
+
+def market_outcomes(
+    panel: DataFrame,
+    applications: DataFrame | None = None,
+    exposure: DataFrame | None = None,
+    index: DataFrame | None = None,
+    fixed: DataFrame | None = None,
+    growth_span: tuple[str, str] | None = None,
+    refi_years: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Adds outcomes and predetermined covariates to an annual panel.
+
+    Outcomes: originations in logs, denial rate and within-year index growth. Covariates, one value
+    per area and so never recomputed over time: `exposure` under a pre_ prefix, `fixed` shares, the
+    index's growth over `growth_span` (first and last month) and refinance originations summed over
+    `refi_years`. A source may be missing; its columns then are. Keys of every source are checked
+    against the panel's before it is joined.
+    """
+    keys = ["geography", "year"]
+    out = panel
+    for other in (applications, exposure, index, fixed):
+        if other is not None:
+            guard_keys(panel, other, "geography")
+    if applications is not None:
+        out = out.join(applications, keys, "left").withColumns(
+            {
+                "log_purchase_originations": positive_log("n_purchase_originations"),
+                "log_refi_originations": positive_log("n_refi_originations"),
+                "denial_rate": ratio(F.col("n_purchase_denials"), F.col("n_purchase_applications")),
+            }
+        )
+        if refi_years is not None:
+            before = applications.where(F.col("year").between(*refi_years))
+            out = out.join(
+                before.groupBy("geography").agg(F.sum("n_refi_originations").alias("pre_refi_count")),
+                "geography",
+                "left",
+            )
+    if {"hpi_year_start", "hpi_year_end"} <= set(panel.columns):
+        out = out.withColumn("hpi_growth", positive_log("hpi_year_end") - positive_log("hpi_year_start"))
+    if exposure is not None:
+        renamed = {c: f"pre_{c}" for c in exposure.columns if c != "geography"}
+        out = out.join(exposure.withColumnsRenamed(renamed), "geography", "left")
+    if index is not None and growth_span is not None:
+        inside = F.col("period").between(*[F.lit(d).cast("date") for d in growth_span])
+        growth = index.where(inside).groupBy("geography").agg(
+            F.ln(F.max_by("hpi", "period")).alias("_end"), F.ln(F.min_by("hpi", "period")).alias("_start")
+        )
+        out = out.join(
+            growth.select("geography", (F.col("_end") - F.col("_start")).alias("pre_hpi_growth")),
+            "geography",
+            "left",
+        )
+    if fixed is not None:
+        out = out.join(fixed, "geography", "left")
+    return out

@@ -847,7 +847,17 @@ def _(v):
     return W.ranked_plan(items(v), ["market"], "score", "cost", "item", F.lit(1.1 * 5000))
 
 
-@query("W12_allocate_ranked")
+@query(
+    "W12_allocate_ranked",
+    """
+with recursive r as (select *, row_number() over (partition by market order by score / cost desc, item) as rk from items where score > 0),
+w as (select market, item, rk, cost <= 5000 + 1e-12::double as took, case when cost <= 5000 + 1e-12::double then cost else 0 end as spent from r where rk = 1
+  union all select r.market, r.item, r.rk, w.spent + r.cost <= 5000 + 1e-12::double, w.spent + case when w.spent + r.cost <= 5000 + 1e-12::double then r.cost else 0 end
+  from w join r on r.market = w.market and r.rk = w.rk + 1)
+select i.item, i.market, i.cost, cast(i.score as double) as score, cast(coalesce(w.took, false) as integer) as selected from items i left join w using (market, item)
+""",
+    "cost:3 score:1",
+)
 def _(v):
     return W.allocate_ranked(items(v), "market", "score", "cost", "item", F.lit(5000.0))
 

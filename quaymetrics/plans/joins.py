@@ -324,8 +324,8 @@ def _(v):
     )
 
 
-@query(
-    "J17_local_panel",
+cte(
+    "local_panel",
     """
 with k as (select geography from stock union select geography from state_index),
 s as (select geography, year(period) as year, avg(n_active_loans) as mean_active_loans, avg(wavg_note_rate_upb) as wavg_note_rate_upb, cast(sum(n_prepayments) as bigint) as n_prepayments from stock group by 1, 2),
@@ -338,6 +338,12 @@ select k.geography, cast(y as integer) as year, s.geography is not null as has_s
 from k cross join range(1995, 2002) t(y) left join s on s.geography = k.geography and s.year = y left join h on h.geography = k.geography and h.year = y
 left join p on p.geography = k.geography and p.year = y left join u on u.geography = k.geography and u.year = y
 """,
+)
+
+
+@query(
+    "J17_local_panel",
+    "select * from local_panel",
     "mean_active_loans wavg_note_rate_upb hpi_year_start:3 hpi_year_end:3 hpi_growth_12m_dec unemployment_rate log_permits log_hpi",
 )
 def _(v):
@@ -346,6 +352,56 @@ def _(v):
     )
 
 
+cte(
+    "applications",
+    """
+select cast(c_nationkey as varchar) as geography, year(o_orderdate) as year, count(*) filter (where b and m) as n_purchase_originations, count(*) filter (where not b and m) as n_refi_originations,
+       count(*) filter (where b) as n_purchase_applications, count(*) filter (where b and not m) as n_purchase_denials
+from (select *, o_orderpriority in ('1-URGENT', '2-HIGH') as b, o_orderkey % 5 > 0 as m from orders) o join customer on o_custkey = c_custkey group by 1, 2
+""",
+)
+
+
+def applications(v):
+    rows = v.orders.join(v.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_nationkey").cast("string").alias("geography"),
+        F.year("o_orderdate").alias("year"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "purchase").otherwise("refinance").alias("purpose"),
+        F.when(F.col("o_orderkey") % 5 > 0, "originated").otherwise("denied").alias("action"),
+    )
+    return J.application_counts(rows)
+
+
+@query(
+    "J17_market_outcomes",
+    """
+with e as (select geography, n_active_loans as pre_n_active_loans, wavg_note_rate_upb as pre_wavg_note_rate_upb from stock where period = date '1996-12-01'),
+g as (select geography, ln(arg_max(hpi, period)) - ln(arg_min(hpi, period)) as pre_hpi_growth from state_index where period between date '1995-01-01' and date '1997-12-01' group by 1),
+r as (select geography, cast(sum(n_refi_originations) as bigint) as pre_refi_count from applications where year between 1996 and 1997 group by 1),
+f as (select cast(s_nationkey as varchar) as geography, avg(cast(s_acctbal > 0 as double)) as remote_share from supplier group by 1)
+select p.geography, p.year, n_purchase_originations, n_refi_originations, n_purchase_applications, n_purchase_denials, case when n_purchase_originations > 0 then ln(n_purchase_originations) end as log_purchase_originations,
+       case when n_refi_originations > 0 then ln(n_refi_originations) end as log_refi_originations, n_purchase_denials / nullif(n_purchase_applications, 0)::double as denial_rate, pre_refi_count,
+       ln(hpi_year_end) - ln(hpi_year_start) as hpi_growth, pre_n_active_loans, pre_wavg_note_rate_upb, pre_hpi_growth, remote_share
+from local_panel p left join applications a on a.geography = p.geography and a.year = p.year left join e on e.geography = p.geography left join g on g.geography = p.geography
+left join r on r.geography = p.geography left join f on f.geography = p.geography
+""",
+    "log_purchase_originations log_refi_originations denial_rate hpi_growth pre_wavg_note_rate_upb pre_hpi_growth remote_share",
+)
+def _(v):
+    stock, index = LN.stock_view(v), LN.index_view(v)
+    panel = J.local_panel(stock, index, permits(v), unemployment(v), 1995, 2001)
+    frozen = stock.where(F.col("period") == F.lit("1996-12-01").cast("date")).select(
+        "geography", "n_active_loans", "wavg_note_rate_upb"
+    )
+    remote = v.supplier.groupBy(F.col("s_nationkey").cast("string").alias("geography")).agg(
+        F.avg((F.col("s_acctbal") > 0).cast("double")).alias("remote_share")
+    )
+    out = J.market_outcomes(
+        panel, applications(v), frozen, index, remote, ("1995-01-01", "1997-12-01"), (1996, 1997)
+    )
+    return out.drop(*[c for c in panel.columns if c not in ("geography", "year")])
+
+
 cte(
     "delineation",
     "select case when n_nationkey = 12 then 'old-' else '' end || cast(n_nationkey as varchar) as child, r_name as parent, 'v2013' as vintage from nation join region on n_regionkey = r_regionkey union all select cast(n_nationkey as varchar), r_name, 'v2018' from nation join region on (n_nationkey + 1) % 5 = r_regionkey",
