@@ -1,6 +1,8 @@
 """Time the headline queries: BENCH_SF_DIR and BENCH_CPUS choose data and cores.
 
-Each runs twice: `cold` counts the first run, staging of shared layers included, `queries` the second.
+Each runs three times: `cold` counts the first run, staging of shared layers included, `queries` the
+median of the others. `heavy` are further queries, run once warm and not part of `value`.
+`calibration` is a fixed aggregation, to compare machines by.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from statistics import median
 
 from quaymetrics.session import local_session
 
@@ -34,6 +37,14 @@ HEADLINE = (
     "P25_amortization_schedule",
 )
 
+HEAVY = (
+    "A09_cross_zone_correlation",
+    "B06_residual_intervals",
+    "E10_ols_two_effects_balanced",
+    "E16_wild_bootstrap",
+    "V16_last_update",
+)
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -47,9 +58,15 @@ def main() -> None:
         QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - start, 3)
 
+    def calibrate() -> float:
+        start = time.perf_counter()
+        spark.range(100_000_000).selectExpr("sum(id * 7 % 1000)").collect()
+        return round(time.perf_counter() - start, 3)
+
     cold = {name: run(name) for name in HEADLINE}
     # layers that several queries share are staged by now; the JVM has compiled
-    times = {name: run(name) for name in HEADLINE}
+    times = {name: round(median(run(name) for _ in range(2)), 3) for name in HEADLINE}
+    heavy = {name: run(name) for name in HEAVY}
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     print(
         json.dumps(
@@ -60,6 +77,8 @@ def main() -> None:
                 "queries": times,
                 "cold_total": round(sum(cold.values()), 3),
                 "cold": cold,
+                "heavy": heavy,
+                "calibration": median(calibrate() for _ in range(3)),
                 "lineitem_rows": lines,
                 "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
             }

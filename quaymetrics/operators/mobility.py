@@ -383,9 +383,10 @@ def node_table(flows: DataFrame) -> DataFrame:
 
 
 def hour_profile(panel: DataFrame) -> DataFrame:
-    """Cells by hour of day. Counts per cell take few distinct values, so percentiles stay small."""
+    """Cells by hour of day; the percentiles are by ordered buckets, so an hour is not one task."""
     y = F.col("trip_count")
-    return panel.groupBy(F.hour("time_bin").alias("hour_of_day")).agg(
+    hours = panel.withColumn("hour_of_day", F.hour("time_bin"))
+    moments = hours.groupBy("hour_of_day").agg(
         F.count(F.lit(1)).alias("zone_hour_cells"),
         F.count_distinct("zone_id").alias("zones"),
         F.count_distinct(F.to_date("time_bin")).alias("dates"),
@@ -393,28 +394,26 @@ def hour_profile(panel: DataFrame) -> DataFrame:
         F.avg(y).alias("mean_trips_per_zone_hour"),
         F.var_pop(y).alias("cell_variance"),
         F.stddev_pop(y).alias("cell_stddev"),
-        F.percentile(y, 0.5).alias("cell_p50"),
-        F.percentile(y, 0.9).alias("cell_p90"),
     )
+    found = quantiles(hours, ["hour_of_day"], y, {"cell_p50": 0.5, "cell_p90": 0.9})
+    return join_null_safe(moments, found, ["hour_of_day"])
 
 
 def zone_profile(panel: DataFrame) -> DataFrame:
     y = F.col("trip_count")
     everything = total(panel, F.sum(y))
-    return (
-        panel.groupBy("zone_id")
-        .agg(
-            F.count(F.lit(1)).alias("hourly_cells"),
-            count_where(y > 0).alias("occupied_cells"),
-            F.sum(y).alias("completed_trips"),
-            F.avg(y).alias("mean_trips_per_hour"),
-            F.var_pop(y).alias("temporal_variance"),
-            F.stddev_pop(y).alias("temporal_stddev"),
-            F.percentile(y, 0.5).alias("hourly_p50"),
-            F.percentile(y, 0.9).alias("hourly_p90"),
-            F.max(y).alias("hourly_max"),
-        )
-        .withColumn("month_trip_share", ratio(F.col("completed_trips"), everything))
+    moments = panel.groupBy("zone_id").agg(
+        F.count(F.lit(1)).alias("hourly_cells"),
+        count_where(y > 0).alias("occupied_cells"),
+        F.sum(y).alias("completed_trips"),
+        F.avg(y).alias("mean_trips_per_hour"),
+        F.var_pop(y).alias("temporal_variance"),
+        F.stddev_pop(y).alias("temporal_stddev"),
+        F.max(y).alias("hourly_max"),
+    )
+    found = quantiles(panel, ["zone_id"], y, {"hourly_p50": 0.5, "hourly_p90": 0.9})
+    return join_null_safe(moments, found, ["zone_id"]).withColumn(
+        "month_trip_share", ratio(F.col("completed_trips"), everything)
     )
 
 
