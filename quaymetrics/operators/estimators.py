@@ -358,7 +358,7 @@ def _conjugate(
             moves = far[c] >= tol and pv > 0
             step[c] = rr / pv if moves else 0.0
             ahead = rr - 2 * step[c] * row[f"rv_{c}"] + step[c] ** 2 * row[f"vv_{c}"] if moves else 0.0
-            turn[c] = max(ahead, 0.0) / rr if 0 < ahead < rr else 0.0
+            turn[c] = ahead / rr if ahead > 0 else 0.0
         new = cells.withColumns(
             {
                 **{f"_z_{c}": F.col(f"_z_{c}") - step[c] * F.col(f"_p_{c}") for c in cols},
