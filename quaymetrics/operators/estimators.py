@@ -869,13 +869,13 @@ JOINING, GAP = 8, 1e-12
 
 def simplex_weights(
     gram: np.ndarray, cross: np.ndarray, rounds: int = 20_000
-) -> np.ndarray:
+) -> tuple[np.ndarray, bool]:
     """Minimise w'Gw - 2c'w over the simplex: accelerated projected gradient, then the exact
-    solution on the support that it found where that is feasible."""
+    solution on the support that it found where that is feasible; and whether it settled."""
     k = len(cross)
     w = v = np.full(k, 1.0 / k)
     top = float(np.linalg.eigvalsh(gram)[-1])
-    step, momentum = 1.0 / (2.0 * top if top > 0 else 1.0), 1.0
+    step, momentum, settled = 1.0 / (2.0 * top if top > 0 else 1.0), 1.0, False
     for _ in range(rounds):
         u = v - step * 2.0 * (gram @ v - cross)
         s = np.sort(u)[::-1]
@@ -887,7 +887,8 @@ def simplex_weights(
         v = new + (momentum - 1.0) / nxt * (new - w)
         moved = float(np.max(np.abs(new - w)))
         w, momentum = new, nxt
-        if moved < 1e-14:
+        settled = moved < 1e-13
+        if settled:
             break
     support = np.flatnonzero(w > 1e-9)
     m = len(support)
@@ -900,8 +901,8 @@ def simplex_weights(
         polished[support] = exact / exact.sum()
         value = lambda x: x @ gram @ x - 2.0 * cross @ x
         if value(polished) <= value(w):
-            return polished
-    return w
+            return polished, True
+    return w, settled
 
 
 def synthetic_weights(
@@ -965,7 +966,7 @@ def synthetic_weights(
             found.setdefault(r["u"], {})[r["t"]] = r["v"]
         active += sorted(found)
         paths = np.vstack([paths, *[[[found[u][t] for t in times]] for u in sorted(found)]])
-        weights = simplex_weights(paths @ paths.T / scale, paths @ target / scale)
+        weights, _ = simplex_weights(paths @ paths.T / scale, paths @ target / scale)
         keep = weights > 0
         active, paths, weights = [u for u, k in zip(active, keep, strict=True) if k], paths[keep], weights[keep]
     forget(pre)
