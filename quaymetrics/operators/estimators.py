@@ -325,11 +325,12 @@ def _conjugate(
     cells: DataFrame, cols: Sequence[str], effects: Sequence[str], tol: float, max_iter: int
 ) -> tuple[DataFrame, int, bool]:
     """Takes out of `_z_` what the sweep still moves, one direction `_p_` a round."""
-    first = _swept(stored(cells, "cells"), "_z_", "_v_", cols, effects)
+    start = stored(cells, "cells")
+    first = _swept(start, "_z_", "_v_", cols, effects)
     gaps = {f"_r_{c}": F.col(f"_z_{c}") - F.col(f"_v_{c}") for c in cols}
     cells = first.withColumns(gaps).withColumns({f"_p_{c}": F.col(f"_r_{c}") for c in cols})
-    cells = _swept(cells, "_p_", "_v_", cols, effects)
-    cells = stored(cells, "cells")
+    cells = stored(_swept(cells, "_p_", "_v_", cols, effects), "cells")
+    forget(start)
     rounds = 1
     while True:
         # what the sweep moves a direction by is the direction less its sweep
