@@ -1,7 +1,7 @@
 """Time the headline queries: BENCH_SF_DIR and BENCH_CPUS choose data and cores.
 
-Each runs three times: `cold` counts the first run, staging of shared layers included, `queries` the
-median of the others. `heavy` are further queries, run once warm and not part of `value`.
+Each runs twice: `cold` counts the first run, staging of shared layers included, `queries` the second.
+`heavy` are further queries, run once and not part of `value`.
 `calibration` is a fixed aggregation, to compare machines by.
 """
 
@@ -39,10 +39,7 @@ HEADLINE = (
 
 HEAVY = (
     "A09_cross_zone_correlation",
-    "B06_residual_intervals",
-    "E10_ols_two_effects_balanced",
     "E16_wild_bootstrap",
-    "V16_last_update",
 )
 
 
@@ -65,7 +62,7 @@ def main() -> None:
 
     cold = {name: run(name) for name in HEADLINE}
     # layers that several queries share are staged by now; the JVM has compiled
-    times = {name: round(median(run(name) for _ in range(2)), 3) for name in HEADLINE}
+    times = {name: run(name) for name in HEADLINE}
     heavy = {name: run(name) for name in HEAVY}
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     print(
