@@ -6,9 +6,8 @@ bounded by the calendar.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,116 +166,7 @@ def baseline_forecasts(
     )
 
 
-# --- fitted models ----------------------------------------------------------------
-
-
-def _prepare(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fold-local median imputation and scaling."""
-    known = [c[~np.isnan(c)] for c in train.T]
-    medians = np.array([np.median(c) if c.size else 0.0 for c in known])
-    a, b = (np.where(np.isnan(m), medians, m) for m in (train, test))
-    mean, sd = a.mean(axis=0), a.std(axis=0)
-    sd[sd == 0] = 1.0
-    return (a - mean) / sd, (b - mean) / sd
-
-
-def _fit_predict(
-    model: str, alpha: float, train: np.ndarray, y: np.ndarray, test: np.ndarray
-) -> float:
-    """One fold of a small model: OLS bridge, elastic net, or boosted stumps."""
-    a, b = _prepare(train, test[None, :])
-    centre = y.mean()
-    if model == "bridge_ols":
-        coef, *_ = np.linalg.lstsq(a, y - centre, rcond=None)
-        return float(centre + (b @ coef)[0])
-    if model == "elastic_net":
-        n, k = a.shape
-        scale = float(np.std(y)) or 1.0
-        target, coef = (y - centre) / scale, np.zeros(k)
-        for _ in range(200):
-            before = coef.copy()
-            for j in range(k):
-                rho = a[:, j] @ (target - a @ coef + a[:, j] * coef[j]) / n
-                shrunk = np.sign(rho) * max(abs(rho) - 0.5 * alpha, 0.0)
-                coef[j] = shrunk / (a[:, j] @ a[:, j] / n + 0.5 * alpha or 1.0)
-            if np.max(np.abs(coef - before)) < 1e-8:
-                break
-        return float(centre + scale * (b @ coef)[0])
-    fitted, out = np.full(y.size, centre), float(centre)
-    for _ in range(40):
-        resid, best = y - fitted, None
-        for j in range(a.shape[1]):
-            for cut in np.quantile(a[:, j], (0.2, 0.4, 0.6, 0.8)):
-                left = a[:, j] <= cut
-                if left.all() or not left.any():
-                    continue
-                lo, hi = resid[left].mean(), resid[~left].mean()
-                gain = left.sum() * lo * lo + (~left).sum() * hi * hi
-                if best is None or gain > best[0]:
-                    best = (gain, j, cut, lo, hi)
-        if best is None:
-            break
-        _, j, cut, lo, hi = best
-        fitted = fitted + alpha * np.where(a[:, j] <= cut, lo, hi)
-        out += alpha * (lo if b[0, j] <= cut else hi)
-    return out
-
-
-def model_forecasts(
-    df: DataFrame,
-    features: Sequence[str],
-    grid: Mapping[str, Sequence[float]],
-    series: str = "series_id",
-    period: str = "period",
-    min_train: int = 12,
-) -> DataFrame:
-    """Out-of-sample forecasts of each (model, setting) over expanding folds.
-
-    A task receives one series (one row per period) for one model setting; the grid of series
-    and settings is what runs in parallel. Only targets released by an origin train its fold.
-    """
-    settings = F.array(
-        *[
-            F.struct(F.lit(m).alias("model_id"), F.lit(float(a)).alias("setting"))
-            for m, alphas in grid.items()
-            for a in alphas
-        ]
-    )
-    rows = df.withColumn("_s", F.explode(settings)).select(
-        series, period, "origin", "release", "y", *features, "_s.*"
-    )
-    schema = T.StructType(
-        [
-            df.schema[series],
-            df.schema[period],
-            T.StructField("model_id", T.StringType()),
-            T.StructField("setting", T.DoubleType()),
-            T.StructField("n_train", T.LongType()),
-            T.StructField("actual", T.DoubleType()),
-            T.StructField("prediction", T.DoubleType()),
-        ]
-    )
-    names = list(features)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        x = pdf[names].to_numpy(dtype=float)
-        y = pdf["y"].to_numpy(dtype=float)
-        origin = pdf["origin"].to_numpy(dtype="datetime64[us]")
-        release = pdf["release"].to_numpy(dtype="datetime64[us]")
-        model, setting = pdf["model_id"].iloc[0], float(pdf["setting"].iloc[0])
-        out = []
-        for i in range(min_train, len(pdf)):
-            known = (release[:i] <= origin[i]) & np.isfinite(y[:i])
-            if known.sum() < min_train:
-                continue
-            p = _fit_predict(model, setting, x[:i][known], y[:i][known], x[i])
-            out.append(
-                (pdf[series].iloc[i], pdf[period].iloc[i], model, setting, int(known.sum()), y[i], p)
-            )
-        return pd.DataFrame(out, columns=[f.name for f in schema])
-
-    return rows.groupBy(series, "model_id", "setting").applyInPandas(run, schema)
+# --- tuning ------------------------------------------------------------------------
 
 
 def tune(
@@ -375,6 +265,38 @@ def _prefix_order_statistics(
     ).select(*keys, "_i", "_which", "_r")
 
 
+def usable_order(rows: DataFrame, keys: Sequence[str], known: Column) -> DataFrame:
+    """Rows of each path in the order in which they become usable, merged with the origins.
+
+    `rows` has place `_i` in its path, origin and release. A row comes twice: as `_in` = 1 at the
+    time from which it is usable, which is its release or the next origin, and as `_in` = 0 at its own
+    origin. `_m` counts the usable rows up to each. Origins must not fall along a path; then what an
+    origin may use is a prefix of this order.
+    """
+    origin = F.col("origin").cast("timestamp_ntz")
+    seen = F.max(origin).over(rows_before(keys, "_i"))
+    require_none(rows.select((origin < seen).alias("_falls")), F.col("_falls"), "origins fall")
+    release = F.col("release").cast("timestamp_ntz")
+    following = F.last(origin, ignorenulls=True).over(rows_before(keys, F.desc("_i")))
+    timed = rows.withColumns({"_origin": origin, "_release": release, "_following": following})
+    usable = known & F.col("_release").isNotNull() & F.col("_following").isNotNull()
+    times = ["_origin", "_release", "_following"]
+    entries = timed.where(usable).withColumns(
+        {
+            "_time": F.greatest("_release", "_following"),
+            "_tie": 2 * F.col("_i") + 1,
+            "_in": F.lit(1),
+        }
+    )
+    looks = timed.where(F.col("_origin").isNotNull()).withColumns(
+        {"_time": F.col("_origin"), "_tie": 2 * F.col("_i"), "_in": F.lit(0)}
+    )
+    both = entries.unionByName(looks).drop(*times)
+    return stored(
+        both.withColumn("_m", F.sum("_in").over(rows_to_here(keys, "_time", "_tie"))), "usable"
+    )
+
+
 def residual_intervals(
     preds: DataFrame,
     keys: Sequence[str],
@@ -390,42 +312,8 @@ def residual_intervals(
     """
     keys = list(keys)
     rows = stored(preds.withColumn("_i", F.row_number().over(ordered(keys, period))), "paths")
-    origin = F.col("origin").cast("timestamp_ntz")
-    seen = F.max(origin).over(rows_before(keys, "_i"))
-    require_none(rows.select((origin < seen).alias("_falls")), F.col("_falls"), "origins fall")
-    residual = F.col("actual") - F.col("prediction")
-    following = F.last(origin, ignorenulls=True).over(rows_before(keys, F.desc("_i")))
-    timed = rows.select(
-        *keys,
-        "_i",
-        residual.cast("double").alias("_r"),
-        F.col("release").cast("timestamp_ntz").alias("_release"),
-        origin.alias("_origin"),
-        following.alias("_following"),
-    )
-    known = F.col("_r").isNotNull() & F.col("_release").isNotNull() & F.col("_following").isNotNull()
-    entries = timed.where(known).select(
-        *keys,
-        "_i",
-        "_r",
-        F.greatest("_release", "_following").alias("_time"),
-        (2 * F.col("_i") + 1).alias("_tie"),
-        F.lit(1).alias("_in"),
-    )
-    looks = timed.where(F.col("_origin").isNotNull()).select(
-        *keys,
-        "_i",
-        F.lit(None).cast("double").alias("_r"),
-        F.col("_origin").alias("_time"),
-        (2 * F.col("_i")).alias("_tie"),
-        F.lit(0).alias("_in"),
-    )
-    ordered_ = stored(
-        entries.unionByName(looks).withColumn(
-            "_m", F.sum("_in").over(rows_to_here(keys, "_time", "_tie"))
-        ),
-        "usable",
-    )
+    residual = (F.col("actual") - F.col("prediction")).cast("double").alias("_r")
+    ordered_ = usable_order(rows.select(*keys, "_i", "origin", "release", residual), keys, F.col("_r").isNotNull())
     values = ordered_.where(F.col("_in") == 1).select(
         *keys,
         F.col("_m").alias("_s"),

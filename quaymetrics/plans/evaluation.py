@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quaymetrics.core import ordered
 from quaymetrics.operators import evaluation as EV
+from quaymetrics.operators import forecasts as FC
 from quaymetrics.operators import sampling as S
 from quaymetrics.operators import windows as W
 from quaymetrics.registry import cte, query
@@ -81,12 +82,47 @@ def model_rows(v):
     )
 
 
-GRID = {"bridge_ols": [0.0], "elastic_net": [0.05, 0.5], "boosted_stumps": [0.1, 0.3]}
+GRID = {"bridge_ols": [0.0], "elastic_net": [0.05, 0.5], "boosted_trees": [0.1, 0.3]}
 
 
 @query("B03_model_forecasts")
 def _(v):
-    return EV.model_forecasts(model_rows(v), ["x", "lag3", "lag12", "month"], GRID, min_train=MIN)
+    features = ["x", "lag3", "lag12", "month"]
+    return FC.model_forecasts(model_rows(v), features, GRID, min_train=MIN, relative_penalty=True)
+
+
+# One regressor has a closed form: the fold's median for missing values, then slope and intercept.
+cte("lag12_rows", "select *, lag(y, 12) over (partition by series_id order by period) as lag12 from lagged_rows")
+cte("lag12_pairs", "select t.series_id, t.period, t.y, t.lag12 as xt, j.y as yj, j.lag12 as xj from lag12_rows t join lag12_rows j on j.series_id = t.series_id and j.idx < t.idx and j.release <= t.origin")
+cte("lag12_medians", f"select series_id, period, count(*) as n_train, coalesce(median(xj), 0) as mid from lag12_pairs group by 1, 2 having count(*) >= {MIN}")
+LAG12 = """
+from (select p.*, n_train, coalesce(xt, mid) as a, coalesce(xj, mid) as b from lag12_pairs p join lag12_medians m using (series_id, period)) s
+group by series_id, period, n_train, y, a
+"""
+
+
+@query(
+    "B03_bridge_one_regressor",
+    f"select series_id, period, n_train, y as actual, case when var_pop(b) > 1e-6 then regr_intercept(yj, b) + regr_slope(yj, b) * a else avg(yj) end as prediction {LAG12}",
+    "actual:2 prediction:1",
+)
+def _(v):
+    f = FC.model_forecasts(model_rows(v), ["lag12"], {"bridge_ols": [0.0]}, min_train=MIN)
+    return f.select("series_id", "period", "n_train", "actual", "prediction")
+
+
+@query(
+    "B03_elastic_net_one_regressor",
+    f"""
+with m as (select series_id, period, n_train, y, a, avg(yj) as my, avg(b) as mb, stddev_pop(yj) as sy, stddev_pop(b) as sb, coalesce(corr(yj, b), 0) as r {LAG12})
+select series_id, period, n_train, y as actual, case when sb > 1e-3 then my + sy * sign(r) * greatest(abs(r) - 0.25, 0) / 1.25 * (a - mb) / sb else my end as prediction from m
+""",
+    "actual:2 prediction:1",
+)
+def _(v):
+    grid = {"elastic_net": [0.5]}
+    f = FC.model_forecasts(model_rows(v), ["lag12"], grid, min_train=MIN, relative_penalty=True)
+    return f.select("series_id", "period", "n_train", "actual", "prediction")
 
 
 cte(
