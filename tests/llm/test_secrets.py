@@ -66,6 +66,45 @@ def test_weak_parts_need_their_complement(spark):
     assert kinds(9) == ["identifier", "loose"]  # the endpoint is out of scope
 
 
+def brute_spans(text, scope):
+    """All spans: a weak part counts if its complements start within the scope, over all pairs."""
+    text = text or ""
+    plain = base(text)
+    weak = []
+    for rank, pattern in ((3, secrets.IDENTIFIER), (4, secrets.LOOSE), (5, secrets.ENDPOINT)):
+        for m in re.finditer(pattern, text, re.ASCII):
+            if not any(s < m.end() and m.start() < e for s, _, e in plain):
+                weak.append((m.start(), rank, m.end()))
+    starts = {"id": [], "secret": [], "at": []}
+    role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "at"}
+    for s, rank, _ in plain + weak:
+        starts[role[rank]].append(s)
+    near = lambda s, r: any(abs(s - other) <= scope for other in starts[r])
+    needs = {3: ["secret"], 4: ["id"], 5: ["id", "secret"]}
+    found = plain + [w for w in weak if all(near(w[0], r) for r in needs[w[1]])]
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_links_against_all_pairs(spark):
+    r = random.Random(11)
+    bits = [
+        "user=bobby", "client_id: c-77", "pwd=hunter22x", "key: 12345678", "https://h.x/y?q=1",
+        "s3://bucket/k", "token=abcdef1", "AKIA" + "B2" * 9, "0123456789abcdef" * 2, "plain words é",
+    ]
+    texts = list(TEXTS)
+    for _ in range(300):
+        parts = [r.choice(bits) + " " * r.choice((1, 1, 7, 19, 40)) for _ in range(r.randint(1, 9))]
+        texts.append("".join(parts))
+    texts.append(("user=bobby " + "x" * 90 + " pwd=hunter22x https://h.x/y ") * 40)  # long, many parts
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for scope in (30, secrets.SCOPE):
+        got = {x.doc_id: x.spans for x in secrets.secret_report(secrets.find_secrets(docs, scope)).collect()}
+        want = {i: brute_spans(t, scope) for i, t in enumerate(texts)}
+        assert got == want
+        linked = [s for s in want.values() if "identifier" in s]
+        assert 20 < len(linked) < len(texts)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame(
         [(i, t, None if t is None else len(t)) for i, t in enumerate(TEXTS)],
