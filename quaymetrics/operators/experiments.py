@@ -97,7 +97,8 @@ def time_blocks(df: DataFrame, block: int) -> DataFrame:
 
 
 def _assign_by(df: DataFrame, key: Sequence[str], p: float, salt: str) -> DataFrame:
-    arms = _complete(df.select(*key).distinct(), key, p, salt)
+    units = stored(df.select(*key).distinct(), "units")  # ranked and counted without `df`
+    arms = _complete(units, key, p, salt)
     return df.join(arms, list(key))
 
 

@@ -24,6 +24,7 @@ from quaymetrics.core import (
 from quaymetrics.functions.columns import calendar_parts, iso_weekday
 from quaymetrics.operators.sets import union_all, union_distinct
 from quaymetrics.operators.trips import CLEAN_TRIP, UNKNOWN_ZONE, ensure_columns
+from quaymetrics.session import stored
 
 PANEL_KEYS = ("source", "zone_type", "zone_id", "time_bin")
 PANEL_ZEROS = (
@@ -271,8 +272,12 @@ def od_edges(flows: DataFrame) -> DataFrame:
 
 
 def graph_summary(flows: DataFrame) -> DataFrame:
-    """Density, edge concentration, top-ten share and intra-zone flow of the OD graph."""
-    edges = od_edges(flows)
+    """Density, edge concentration, top-ten share and intra-zone flow of the OD graph.
+
+    The flows, a row per pair of zones, are read several times and therefore written once.
+    """
+    flows = stored(flows, "flows")
+    edges = stored(od_edges(flows), "edges")
     o, d, n = F.col("origin_zone_id"), F.col("destination_zone_id"), F.col("trip_count")
     totals = flows.agg(
         F.count(F.lit(1)).alias("directed_pairs"),
@@ -327,7 +332,11 @@ def graph_nodes(flows: DataFrame) -> DataFrame:
 
 
 def node_table(flows: DataFrame) -> DataFrame:
-    """Flows, degrees, strength, self-loop share and destination concentration per zone."""
+    """Flows, degrees, strength, self-loop share and destination concentration per zone.
+
+    The flows, a row per pair of zones, are read several times and therefore written once.
+    """
+    flows = stored(flows, "flows")
     o, d, n = F.col("origin_zone_id"), F.col("destination_zone_id"), F.col("trip_count")
     x = n.cast("double")
     outgoing = flows.groupBy(o.alias("zone_id")).agg(
@@ -347,7 +356,8 @@ def node_table(flows: DataFrame) -> DataFrame:
             F.sum("weight").cast("bigint").alias("undirected_strength"),
         )
     )
-    all_strength = total(strength, F.sum("undirected_strength"))
+    # every cross-zone trip adds to the strength of both its zones
+    all_strength = total(flows, 2 * F.sum(F.when(o != d, n)))
     table = (
         graph_nodes(flows)
         .join(outgoing, "zone_id", "left")

@@ -116,7 +116,7 @@ union all select zone_b, zone_a, cast(edge_weight as double) from undirected
 
 
 def flows_view(v):
-    return M.od_month(M.od_flow(v.trips, 1440))
+    return v.stored("month_flows", lambda: M.od_month(M.od_flow(v.trips, 1440)))
 
 
 @query("A02_od_flow", "select * from od", "avg_fare:3 avg_trip_miles:4")
