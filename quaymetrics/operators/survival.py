@@ -268,7 +268,9 @@ def hazard_glm(
 ) -> DataFrame:
     """Discrete-time hazard model with age dummies and cluster-robust errors.
 
-    The fit is MLlib's; bread and meat of the sandwich are two aggregations.
+    The fit is MLlib's; bread and meat of the sandwich are two aggregations. It has converged if it
+    ended before its last round, as it does not where a level has no events, and if a further Newton
+    step, from the score equations at the estimates, would not move them.
     """
     levels = [
         r[0]
@@ -297,7 +299,7 @@ def hazard_glm(
             labelCol=outcome,
             weightCol=weight,
             maxIter=100,
-            tol=1e-10,
+            tol=1e-8,
         ).fit(data)
         rounds = int(model.summary.numIterations)
         beta = np.array([model.intercept, *model.coefficients.toArray()])
@@ -316,13 +318,16 @@ def hazard_glm(
         resid = w * (F.col(outcome) - F.col("_mu")) * F.col("_d") / var
         meat, g = cluster_meat(scored, [c * resid for c in cols], [cluster])
         inv = np.linalg.pinv(bread)
+        score = scored.agg(*[F.sum(c * resid).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        step = inv @ np.array([*score], dtype=float)
+        settled = bool(np.all(np.abs(step) <= 1e-6 * (1.0 + np.abs(beta))))
         vcov = inv @ meat @ inv * (g / max(g - 1, 1)) * ((n - 1) / max(n - len(cols), 1))
         effect = scored.agg(F.avg("_d").alias("d"), F.sum(outcome).alias("e")).first()
     finally:
         data.unpersist()
     table = coefficient_table(
         df, ["intercept", *names], beta, vcov, g - 1, n_obs=n, n_clusters=g, link=link,
-        n_events=int(effect["e"]), rounds=rounds, converged=rounds < 100,
+        n_events=int(effect["e"]), rounds=rounds, converged=settled and rounds < 100,
     )
     return table.withColumns(
         {

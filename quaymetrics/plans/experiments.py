@@ -610,6 +610,37 @@ def _(v):
     return E.aipw(units(v), "y", "t", ["x", "h"], "id", cluster="g", folds=4)
 
 
+# One two-valued covariate: propensities and outcome models are means of the other folds' cells.
+@query(
+    "E17_aipw_two_cells",
+    f"""
+with u as (select y::double as y, t, cast(h <= 6 as integer) as b, g, {H.format("cast(g as varchar) || 'fold'")} % 4 as f from units),
+m as (select k.f, b, avg(t) as p, avg(y) filter (where t = 1) as m1, avg(y) filter (where t = 0) as m0 from u join (select distinct f from u) k on u.f <> k.f group by 1, 2),
+s as (select g, m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e) as psi from (select u.*, m1, m0, least(greatest(p, 0.02), 0.98) as e from u join m using (f, b)) q),
+z as (select avg(psi) as mean, count(*) as n from s), c as (select g, sum(psi - mean) as i, max(mean) as mean, max(n) as n from s, z group by g)
+select max(mean) as estimate, sqrt(sum(i * i) / (max(n)::double * max(n)) * (count(*) / (count(*) - 1)::double)) as standard_error, max(n) as n_obs, count(*) as n_clusters, 4 as folds from c
+""",
+    "estimate:4 standard_error:4",
+)
+def _(v):
+    data = units(v).withColumn("b", (F.col("h") <= 6).cast("int"))
+    return E.aipw(data, "y", "t", ["b"], "id", cluster="g", folds=4)
+
+
+@query(
+    "E18_t_learner_one_covariate",
+    f"""
+with u as (select id, y::double as y, t, x::double as x, {H.format("cast(id as varchar) || 'fold'")} % 3 as f from units),
+m as (select k.f, t, regr_slope(y, x) as s, regr_intercept(y, x) as a from u join (select distinct f from u) k on u.f <> k.f group by 1, 2),
+d as (select f, sum(case when t = 1 then s else -s end) as s, sum(case when t = 1 then a else -a end) as a from m group by f)
+select id, d.a + d.s * x as estimated_effect from u join d using (f)
+""",
+    "estimated_effect:4",
+)
+def _(v):
+    return E.t_learner(units(v), "y", "t", ["x"], "id", folds=3).select("id", "estimated_effect")
+
+
 @query("E18_t_learner")
 def _(v):
     out = E.t_learner(units(v), "y", "t", ["x", "h"], "id", folds=3)

@@ -501,6 +501,31 @@ def _(v):
 COVARIATES = ["rate_gap", "log_orig_upb", "est_current_ltv"]
 
 
+# Dummies alone saturate the model: log odds of each level, errors from sums within loans.
+@query(
+    "L07_hazard_glm_saturated",
+    """
+with u as (select loan_seq_no as c, 'm' || (loan_age % 3) as age_bin, exit_any::double as y from discrete_all),
+a as (select age_bin, avg(y) as p, count(*) * avg(y) * (1 - avg(y)) as w, ln(avg(y) / (1 - avg(y))) as l from u group by 1),
+b as (select * from a where age_bin = (select min(age_bin) from a)),
+i as (select c, age_bin, sum(y - p) as s from u join a using (age_bin) group by 1, 2),
+n as (select count(*) as n_obs, count(distinct c) as n_clusters, cast(sum(y) as bigint) as n_events, (select count(*) from a) as k from u),
+j as (select a.age_bin, a.age_bin = b.age_bin as base, a.l, b.l as l0, coalesce(i.s, 0) / a.w as f, coalesce(z.s, 0) / b.w as f0
+      from (select distinct c from u) cl cross join a cross join b left join i on i.c = cl.c and i.age_bin = a.age_bin left join i z on z.c = cl.c and z.age_bin = b.age_bin),
+t as (select case when base then 'intercept' else 'is_' || age_bin end as term, case when base then l0 else l - l0 end as estimate, sum(power(case when base then f0 else f - f0 end, 2)) as v from j group by 1, 2)
+select term, estimate, sqrt(v * (n_clusters / (n_clusters - 1)::double) * (n_obs - 1) / (n_obs - k)::double) as std_error, exp(estimate) as hazard_ratio, n_obs, n_events, n_clusters, true as converged from t, n
+""",
+    "estimate:5 std_error:5 hazard_ratio:5",
+)
+def _(v):
+    data = SV.discrete_time(LN.episodes_view(v), "1999-01-01", salt="risk")
+    thirds = F.concat(F.lit("m"), (F.col("loan_age") % 3).cast("string"))  # events in each
+    out = SV.hazard_glm(data.withColumn("age_bin", thirds), "exit_any", [], "loan_seq_no")
+    return out.select(
+        "term", "estimate", "std_error", "hazard_ratio", "n_obs", "n_events", "n_clusters", "converged"
+    )
+
+
 @query("L07_hazard_glm")
 def _(v):
     data = SV.discrete_time(LN.episodes_view(v), "2001-01-01", fraction=0.5, salt="risk")
