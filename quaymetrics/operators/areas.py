@@ -199,8 +199,11 @@ def major_names(days: DataFrame) -> DataFrame:
 
 
 def event_calendar(days: DataFrame, first: str, last: str) -> DataFrame:
-    """Every day of the period with active ids, conditional counts, and of its major names the
-    number and the first; major_names() lists them."""
+    """Every day of the period with active ids, conditional counts and its sorted major names, their
+    number and the first.
+
+    Distinct names are found before they are listed, so a busy day gathers names, not rows.
+    """
     bounds = [F.lit(first).cast("date"), F.lit(last).cast("date")]
     calendar = days.sparkSession.range(1).select(
         F.explode(F.sequence(*bounds)).alias("service_date")
@@ -211,12 +214,15 @@ def event_calendar(days: DataFrame, first: str, last: str) -> DataFrame:
         F.count_if("major").alias("active_major_events"),
     )
     names = major_names(days).groupBy("service_date").agg(
-        F.count("event_name").alias("n_major_names"), F.min("event_name").alias("first_major_name")
+        F.count("event_name").alias("n_major_names"),
+        F.min("event_name").alias("first_major_name"),
+        F.array_join(F.array_sort(F.collect_list("event_name")), " | ").alias("major_names"),
     )
     table = (
         calendar.join(daily, "service_date", "left")
         .join(names, "service_date", "left")
         .fillna(0, ["active_events", "active_public_events", "active_major_events", "n_major_names"])
+        .fillna("", ["major_names"])
     )
     median = total(table, F.percentile("active_events", 0.5))
     return table.withColumns(

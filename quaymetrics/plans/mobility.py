@@ -729,8 +729,10 @@ def _(v):
     f"""
 with c as (select cast(unnest(generate_series(date '{FIRST}', date '{LAST}', interval 1 day)) as date) as service_date),
 d as (select service_date, count(distinct event_id) as a, count(*) filter (where public) as p, count(*) filter (where major) as m,
-             count(distinct case when major then event_name end) as nm, min(case when major then event_name end) as f from interval_days group by 1),
-t as (select c.service_date, coalesce(a, 0) as active_events, coalesce(p, 0) as active_public_events, coalesce(m, 0) as active_major_events, coalesce(nm, 0) as n_major_names, f as first_major_name
+             count(distinct case when major then event_name end) as nm, min(case when major then event_name end) as f,
+             string_agg(distinct case when major then event_name end, ' | ' order by case when major then event_name end) as names from interval_days group by 1),
+t as (select c.service_date, coalesce(a, 0) as active_events, coalesce(p, 0) as active_public_events, coalesce(m, 0) as active_major_events, coalesce(nm, 0) as n_major_names, f as first_major_name,
+             coalesce(names, '') as major_names
       from c left join d on c.service_date = d.service_date),
 q as (select quantile_cont(active_events, 0.5) as med from t)
 select t.*, active_major_events > 0 as is_major_day, q.med as median_active_events, active_events > q.med as above_median_day from t, q

@@ -16,6 +16,7 @@ from quaymetrics.core import (
     table_quantiles,
 )
 from quaymetrics.functions import columns as C
+from quaymetrics.operators import areas as AR
 from quaymetrics.operators import estimators as E
 from quaymetrics.operators import experiments as X
 from quaymetrics.operators import joins as J
@@ -160,6 +161,15 @@ def test_greedy_allocation_over_many_rounds(spark):
     assert {r["item"] for r in out if r["selected"]} == want
 
 
+def test_event_calendar_lists_every_major_name(spark):
+    d = dt.date
+    rows = [(1, d(2020, 1, 1), "b", True, True), (2, d(2020, 1, 1), "a", False, True), (3, d(2020, 1, 1), "b", True, True), (4, d(2020, 1, 2), "c", True, False)]
+    days = spark.createDataFrame(rows, "event_id int, service_date date, event_name string, public boolean, major boolean")
+    got = AR.event_calendar(days, "2020-01-01", "2020-01-03").orderBy("service_date").collect()
+    assert [r["major_names"] for r in got] == ["a | b", "", ""]
+    assert [r["n_major_names"] for r in got] == [2, 0, 0]
+
+
 def test_two_effect_ols_recovers_a_slope_and_matches_dummies(spark):
     rng = np.random.default_rng(3)
     rows = [
