@@ -3,8 +3,8 @@
 Conversations that share initial turns share the nodes of a tree. A tree's tokens are emitted once,
 depth first; each node has its place in that stream, position ids that go on from its parent's, and
 the intervals of the stream that its ancestors fill, which is all that it may attend to besides
-itself. A tree holds conversations of one range of `PACK` ids, so that a first turn that most
-conversations share is split over many trees and no task orders more than one.
+itself. Conversations with one first turn are one tree, however many they are; its work is split by
+ranges of `PACK` ids and by sums over subtrees, so that no task holds or orders a tree.
 
 Turns are marked by control tokens. In texts and roles every `<`, `[` and backslash gets a
 backslash after it, so no control string can stand in a text, and taking those away again is exact.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quaymetrics.core import running_total
 from quaymetrics.llm.text import require_columns
 from quaymetrics.session import stored
 
@@ -44,7 +45,7 @@ TURN = re.compile(
     r"|\[ROLE\](?P<role>.*?)\[TEXT\](?P<text>.*?)\[/TEXT\]",
     re.DOTALL,
 )
-ID = ["one", "two", "pack"]
+ID = ["one", "two"]
 LAST = (1 << 63) - 1
 
 
@@ -108,7 +109,7 @@ def tokenize(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[p
 
 
 TOKENS = (
-    "one long, two long, pack long, owner long, place long, "
+    "one long, two long, owner long, place long, "
     "tokens array<int>, loss_start int, loss_end int"
 )
 
@@ -133,22 +134,31 @@ class Forest:
             .withColumn("one", F.bit_xor(hashes[0]).over(so_far))
             .withColumn("two", F.bit_xor(hashes[1]).over(so_far))
             .withColumn("root", F.first("one").over(so_far))
-            .withColumn("pack", F.floor(F.col("conv") / pack))
+            .withColumn("part", F.floor(F.col("conv") / pack))
         )
         keyed = stored(keyed.drop("turn"), "turns")
-        owners = keyed.groupBy(*ID).agg(F.min("conv").alias("owner"))
+        # nodes by the parts they are used in, so that a shared node's conversations are many tasks'
+        local = keyed.groupBy(*ID, "part").agg(F.min("conv").alias("least"))
+        owners = local.groupBy(*ID).agg(F.min("least").alias("owner"))
+        spread = stored(local.drop("least").join(owners, ID), "owners")
         # the owner's row stands for the node
-        marked = keyed.join(owners, ID)
-        own = marked.where("conv = owner").select(*ID, "owner", "place", "role", "text")
+        own = keyed.join(spread, [*ID, "part"]).where("conv = owner")
         tokens = stored(
-            own.mapInArrow(lambda b: tokenize(b, self.vocabulary), TOKENS), "tokens"
+            own.select(*ID, "owner", "place", "role", "text").mapInArrow(
+                lambda b: tokenize(b, self.vocabulary), TOKENS
+            ),
+            "tokens",
         )
         sizes = tokens.select(*ID, F.size("tokens").cast("long").alias("n_tokens"))
-        paths = self._paths(marked.drop("role", "text").join(sizes, ID))
-        placed = self._stream(paths.where("conv = owner"))
+        sized = keyed.drop("role", "text").join(spread.join(sizes, ID), [*ID, "part"])
+        paths = stored(self._paths(sized), "branches")
+        tree = F.floor(F.col("branches")[0]["owner"] / pack).alias("pack")
+        placed = stored(self._stream(paths, pack).select("*", tree).drop("branches"), "stream")
+        #: the parts of the work that read a node, besides the node itself
+        self.spread = spread.drop("owner")
         self.turns = stored(
-            paths.select("conv", "place", *ID, "position", "n_tokens").join(
-                placed.select(*ID, "offset"), ID
+            paths.select("conv", "place", *ID, "part", "position", "n_tokens", tree).join(
+                self.spread.join(placed.select(*ID, "offset"), ID), [*ID, "part"]
             ),
             "paths",
         )
@@ -170,13 +180,14 @@ class Forest:
             )
             .select("conv", *ID, "attends")
         )
-        #: tree, node, offset in the tree's stream, position of the first token, what it attends to
+        #: tree, node, range of ids of its first conversation, offset in the tree's stream, position of the first token, what it attends to
         self.nodes = (
             placed.join(tokens.drop("owner", "place"), ID)
             .join(attended.withColumnRenamed("conv", "owner"), [*ID, "owner"])
             .select(
                 "root",
                 *ID,
+                "pack",
                 "offset",
                 "position",
                 "attends",
@@ -213,22 +224,67 @@ class Forest:
         )
 
     @staticmethod
-    def _stream(nodes: DataFrame) -> DataFrame:
-        """Where each node starts in its tree's depth-first stream."""
-        order = Window.partitionBy("root", "pack").orderBy("branches", "place", "two")
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        return nodes.select(
+    def _stream(paths: DataFrame, pack: int) -> DataFrame:
+        """Where each node starts in its tree's depth-first stream.
+
+        The nodes of one owner are a chain, which is emitted whole; then come the chains that
+        leave it, each with all that leaves those. A chain starts behind the chains on its path
+        and, at each of these, behind what was emitted before it left. Sums over whole subtrees
+        and sums in parts give that, so no task orders a tree.
+        """
+        own = paths.where("conv = owner")
+        chains = stored(
+            own.groupBy("conv").agg(
+                F.sum("n_tokens").alias("length"),
+                F.min("position").alias("start"),
+                F.min_by("branches", "place").alias("branches"),
+            ),
+            "chains",
+        )
+        on_path = chains.select("conv", "length", F.explode("branches.owner").alias("owner"))
+        totals = on_path.groupBy(F.col("owner").alias("conv")).agg(F.sum("length").alias("total"))
+        last = F.element_at("branches", -1)["depth"]
+        siblings = (
+            chains.where(F.size("branches") > 1)
+            .select("conv", F.element_at("branches", -2)["owner"].alias("parent"), last.alias("depth"))
+            .join(totals, "conv")
+            # digits that sort as (depth, part of the ids)
+            .withColumn(
+                "bucket",
+                F.concat(
+                    F.lpad((F.col("depth") + (1 << 40)).cast("string"), 14, "0"),
+                    F.lpad((F.floor(F.col("conv") / pack) + (1 << 62)).cast("string"), 20, "0"),
+                ),
+            )
+        )
+        run = running_total(siblings, ["parent"], "bucket", ["depth", "conv"], F.col("total"), "run")
+        ahead = run.select("conv", (F.col("run") - F.col("total")).alias("ahead"))
+        steps = chains.select(F.col("conv").alias("owner"), F.col("length").alias("step")).join(
+            ahead.withColumnRenamed("conv", "owner"), "owner", "left"
+        )
+        passed = on_path.select("conv", "owner", F.floor(F.col("conv") / pack).alias("part"))
+        near = passed.select("owner", "part").distinct().join(steps, "owner")
+        step = F.when(F.col("owner") != F.col("conv"), F.col("step")).otherwise(0)
+        starts = (
+            passed.join(near, ["owner", "part"])
+            .groupBy("conv")
+            .agg(F.sum(step + F.coalesce("ahead", F.lit(0))).alias("base"))
+            .join(chains.select("conv", "start"), "conv")
+        )
+        return own.join(starts, "conv").select(
             "root",
             *ID,
             "owner",
             "position",
-            F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"),
+            "branches",
+            (F.col("base") + F.col("position") - F.col("start")).alias("offset"),
         )
 
     def read_back(self) -> DataFrame:
         """Each conversation put together again from the emitted tokens and their loss mask."""
-        parts = self.turns.select("conv", "place", *ID).join(
-            self.nodes.select(*ID, "tokens", "loss_start", "loss_end"), ID
+        nodes = self.nodes.select(*ID, "tokens", "loss_start", "loss_end")
+        parts = self.turns.select("conv", "place", *ID, "part").join(
+            self.spread.join(nodes, ID), [*ID, "part"]
         )
         whole = parts.groupBy("conv").agg(
             F.array_sort(

@@ -76,6 +76,15 @@ def test_stream_is_depth_first_and_intervals_are_ancestors(spark):
             assert len(node.attends) <= len(path)
 
 
+def test_trees_do_not_depend_on_the_parts(spark):
+    def emitted(pack):
+        return {(n.one, n.two): (n.root, n.offset, n.position, n.attends, n.tokens) for n in nodes[pack]}
+
+    nodes = {pack: forest(spark, pack).nodes.collect() for pack in (chat.PACK, 7)}
+    assert len(nodes[7]) == len(emitted(7))
+    assert emitted(7) == emitted(chat.PACK)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.Forest(none).read_back().count() == 0
