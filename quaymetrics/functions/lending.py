@@ -5,6 +5,8 @@ Rates are annual percents; `growth` and `discount` powers stay in codegen.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,25 +83,35 @@ def gap_measures(
     return df.withColumns(out)
 
 
-def schedule(loans: DataFrame, key: str, principal: str, rate: str, term: str) -> DataFrame:
-    """Full amortisation schedule: one row per loan and scheduled month, closed form."""
+def schedule(
+    loans: DataFrame, key: str, principal: str, rate: str, term: str, months_per_task: int = 1 << 21
+) -> DataFrame:
+    """Full amortisation schedule: one row per loan and scheduled month, closed form.
+
+    A small loan table makes many rows, so loans are dealt over as many tasks as their months
+    need; what does not change by month is worked out once per loan.
+    """
     p, r = F.col(principal).cast("double"), F.col(rate)
     n = F.col(term).cast("double")
     k = F.col("month")
     start = scheduled_balance(p, r, n, k - 1)
-    interest = start * monthly(r)
-    pmt = payment(p, r, n)
+    interest = F.col("balance_start") * monthly(r)
+    running = loans.where(F.col(term) > 0)
+    months = running.agg(F.sum(F.col(term).cast("long"))).first()[0] or 0
     return (
-        loans.where(F.col(term) > 0)
+        running.select(key, principal, rate, term)
+        .repartition(math.ceil(months / months_per_task) or 1)
+        .withColumn("payment", payment(p, r, n))
         .withColumn("month", F.explode(F.sequence(F.lit(1), F.col(term).cast("int"))))
+        .withColumns({"balance_start": start, "balance_end": scheduled_balance(p, r, n, k)})
         .select(
             key,
             "month",
-            start.alias("balance_start"),
-            scheduled_balance(p, r, n, k).alias("balance_end"),
-            pmt.alias("payment"),
+            "balance_start",
+            "balance_end",
+            "payment",
             interest.alias("interest"),
-            (pmt - interest).alias("principal"),
+            (F.col("payment") - interest).alias("principal"),
         )
     )
 
