@@ -16,10 +16,12 @@ from quaymetrics.core import (
     table_quantiles,
 )
 from quaymetrics.functions import columns as C
+from quaymetrics.functions import lending as L
 from quaymetrics.operators import areas as AR
 from quaymetrics.operators import estimators as E
 from quaymetrics.operators import experiments as X
 from quaymetrics.operators import joins as J
+from quaymetrics.operators import mobility as MB
 from quaymetrics.operators import policy as PO
 from quaymetrics.operators import vintage as VT
 from quaymetrics.operators import windows as W
@@ -170,6 +172,32 @@ def test_event_calendar_lists_every_major_name(spark):
     assert [r["n_major_names"] for r in got] == [2, 0, 0]
 
 
+def test_schedule_deals_a_small_table_over_tasks(spark):
+    loans = spark.range(6, numPartitions=1).select("id", F.lit(1000.0).alias("b"), F.lit(6.0).alias("r"), F.lit(12).alias("n"))
+    out = L.schedule(loans, "id", "b", "r", "n", months_per_task=12)
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    rows = out.where("id = 3").orderBy("month").collect()
+    assert [r["month"] for r in rows] == list(range(1, 13))
+    assert rows[-1]["balance_end"] == 0.0
+    assert sum(r["principal"] for r in rows) == pytest.approx(1000.0)
+    assert L.schedule(loans.where("id < 0"), "id", "b", "r", "n").count() == 0
+
+
+def test_trip_moments_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def fare(i):
+        made.add(1)
+        return float(i)
+
+    rows = spark.range(50).select(
+        F.udf(fare, "double")("id").alias("fare"), F.sqrt("id").alias("pay"), F.lit(2.0).alias("wait")
+    )
+    out = MB.trip_moments(rows, "wait", "fare", "pay").first()
+    assert (out["fare_p50"], out["fare_max"], out["trip_rows"]) == (24.5, 49.0, 50)
+    assert made.value == 50
+
+
 def test_two_effect_ols_recovers_a_slope_and_matches_dummies(spark):
     rng = np.random.default_rng(3)
     rows = [
