@@ -967,7 +967,10 @@ def synthetic_weights(
             found.setdefault(r["u"], {})[r["t"]] = r["v"]
         active += sorted(found)
         paths = np.vstack([paths, *[[[found[u][t] for t in times]] for u in sorted(found)]])
-        weights, _ = simplex_weights(paths @ paths.T / scale, paths @ target / scale)
+        # weights sum to one, so distances to the target will do; the common level, next to which
+        # nearly equal donors look the same, is not in them
+        apart = paths - target
+        weights, _ = simplex_weights(apart @ apart.T / scale, np.zeros(len(active)))
         keep = weights > 0
         active, paths, weights = [u for u, k in zip(active, keep, strict=True) if k], paths[keep], weights[keep]
     forget(pre)

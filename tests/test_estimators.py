@@ -181,3 +181,14 @@ def test_ladder_records_why_a_method_does_not_apply(spark):
     assert rows["synthetic"].status == "not_applicable" and rows["synthetic"].estimate is None
     with pytest.raises(ValueError):
         X.estimate_ladder(data, {"constant": lambda d: E.ols(d, "y", ["one"])}, on_error="raise")
+
+
+def test_nearly_equal_donors_settle_in_few_rounds(spark):
+    rng = np.random.default_rng(8)
+    paths = 250 + rng.normal(0, 0.5, (20, 12))
+    paths[0] = 0.7 * paths[8] + 0.3 * paths[11]
+    rows = [(u, t, float(paths[u, t])) for u in range(20) for t in range(12)]
+    panel = spark.createDataFrame(rows, "u int, t int, y double")
+    out = E.synthetic_control(panel, "u", "t", "y", "0", 12).first()
+    assert out["converged"] and out["rounds"] < 8
+    assert abs(out["gap"]) < 1e-6
