@@ -1,5 +1,6 @@
 """A sample of registered queries against DuckDB; tests/compare.py runs them all."""
 
+import duckdb
 import pytest
 from compare import compare, connect
 
@@ -39,3 +40,26 @@ def test_query_matches_sql(spark, con, name):
 def test_every_query_is_named_after_a_survey_row():
     prefixes = {n.split("_")[0] for n in QUERIES}
     assert len(prefixes) == 205
+
+
+# Odd lines (part key, quantity) beside the given ones: no part key; products without quantity.
+ODD_LINES = {
+    "given": "l_partkey, l_quantity",
+    "no part key": "case when l_orderkey % 5 = 0 then null else l_partkey end as l_partkey, l_quantity",
+    "no quantity": "l_partkey, case when l_partkey % 20 in (4, 9) then 0.0::double else l_quantity end as l_quantity",
+}
+
+
+@pytest.mark.parametrize("odd", ODD_LINES)
+def test_industry_index_reads_every_series(spark, tmp_path, odd):
+    con = duckdb.connect()
+    lines = f"select * exclude (l_partkey, l_quantity), {ODD_LINES[odd]} from '{SF}/lineitem.parquet'"
+    for name, sql in {"lineitem": lines, "supplier": f"from '{SF}/supplier.parquet'"}.items():
+        con.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet'")
+        con.execute(f"create view {name} as from '{tmp_path}/{name}.parquet'")
+    index = QUERIES["A31_industry_index"]
+    assert compare(spark, con, index, str(tmp_path)).startswith("ok")
+    months = "select distinct l_partkey % 20, date_trunc('month', l_shipdate) from lineitem"
+    series = con.execute(f"select count(*) from ({months} where l_partkey is not null)").fetchone()
+    found = index.run(spark, str(tmp_path)).agg({"n_component_series": "sum"}).first()
+    assert found == series
